@@ -1,6 +1,432 @@
-"""Every query of the engine, with the SQL that gives the same rows."""
+"""Every query of the engine over the derived logs, with the SQL that gives the same rows.
+
+The SQL does not repeat the queries' way: it uses closed forms that hold for these logs (all replicas meet after each
+layer, so a key's visible values are those of its last active layer).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from weftlog.functions import bloom, scalars
+from weftlog.operators import document, encoding, history, register, sequence, state
+from weftlog.plans.logs import DUCK, DUCK_LIST, list_log, map_log
+
+#: The layer at which the queries about the past look.
+PAST = 20
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+#: Visible values of registers: the last puts of each writer in the key's last active layer (up to layer {past}).
+VISIBLE = """
+m AS (SELECT doc_id, key_str, max(layer) AS last_layer FROM r WHERE layer <= {past} GROUP BY doc_id, key_str),
+vis AS (SELECT r.doc_id, r.key_str, r.ctr, r.actor, r.v FROM r JOIN m ON r.doc_id = m.doc_id AND r.key_str = m.key_str AND r.layer = m.last_layer
+        WHERE from_last = 1 AND action = 'set'),
+docs AS (SELECT DISTINCT doc_id FROM o),
+cnt AS (SELECT d.doc_id, concat('c', CAST(k.k AS STRING)) AS key_str, k.k + 1 AS ctr, CAST(-1 AS BIGINT) AS actor,
+        CAST(coalesce((SELECT sum(v) FROM o WHERE o.doc_id = d.doc_id AND o.action = 'inc' AND o.k = k.k AND o.layer <= {past}), 0) AS BIGINT) AS v
+        FROM docs d CROSS JOIN (SELECT CAST(unnest([0,1,2,3,4,5,6,7]) AS BIGINT) AS k) k),
+shown AS (SELECT * FROM vis UNION ALL SELECT * FROM cnt)
+"""
+NOW = f"WITH {DUCK}, {VISIBLE.format(past=1 << 40)} "
+THEN = f"WITH {DUCK}, {VISIBLE.format(past=PAST)} "
+GENESIS = "SELECT doc_id, 0 AS layer, -1 AS actor, 1 AS start_op, 8 AS num_ops, 8 AS max_op, 1 AS seq, sha256(concat_ws('|', doc_id, 0, -1)) AS hash FROM (SELECT DISTINCT doc_id FROM ch)"
+CHANGES = f"WITH {DUCK}, allc AS (SELECT * FROM ch UNION ALL {GENESIS}), top AS (SELECT doc_id, max(layer) AS l FROM allc GROUP BY doc_id) "
+
+
+def past_heads(spark, sf_dir):
+    """The changes of layer PAST: together they have all before."""
+    return map_log(spark, sf_dir).changes.where(F.col("layer") == PAST).select("doc_id", "hash")
+
+
+# registers
+
+
+@query(NOW + "SELECT doc_id, key_str, min(struct_pack(c := ctr, a := actor)).c AS ctr, min(struct_pack(c := ctr, a := actor)).a AS actor, min_by(v, struct_pack(c := ctr, a := actor)) AS value, count(*) AS n_values FROM shown GROUP BY doc_id, key_str")
+def register_winner(spark, sf_dir):
+    w = register.winner(map_log(spark, sf_dir).ops)
+    return w.select("doc_id", "key_str", "ctr", "actor", F.col("current").alias("value"), "n_values")
+
+
+@query(NOW + "SELECT doc_id, key_str, ctr, actor, v AS value, CAST(row_number() OVER (PARTITION BY doc_id, key_str ORDER BY ctr DESC, actor DESC) AS BIGINT) AS rank FROM shown")
+def register_conflicts(spark, sf_dir):
+    return register.conflicts(map_log(spark, sf_dir).ops).select("doc_id", "key_str", "ctr", "actor", F.col("current").alias("value"), "rank")
+
+
+@query(NOW + "SELECT doc_id, key_str, count(*) AS n_values FROM shown GROUP BY doc_id, key_str")
+def conflict_counts(spark, sf_dir):
+    return register.conflict_counts(map_log(spark, sf_dir).ops).select("doc_id", "key_str", "n_values")
+
+
+@query(NOW + "SELECT doc_id, key_str, string_agg(concat(ctr, '@', actor, '=', v), ' ' ORDER BY ctr DESC, actor DESC) AS vals FROM shown GROUP BY doc_id, key_str")
+def conflict_sets(spark, sf_dir):
+    s = register.conflict_sets(map_log(spark, sf_dir).ops)
+    one = F.transform("values", lambda x: F.concat(x["ctr"].cast("string"), F.lit("@"), x["actor"].cast("string"), F.lit("="), x["current"].cast("string")))
+    return s.select("doc_id", "key_str", F.array_join(one, " ").alias("vals"))
+
+
+@query(NOW + "SELECT doc_id, key_str, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY key_str) AS BIGINT) AS pos FROM (SELECT DISTINCT doc_id, key_str FROM shown)")
+def map_keys(spark, sf_dir):
+    return register.ranked_keys(map_log(spark, sf_dir).ops).select("doc_id", "key_str", "pos")
+
+
+@query(NOW + "SELECT doc_id, key_str, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY key_str DESC) AS BIGINT) AS pos FROM (SELECT DISTINCT doc_id, key_str FROM shown)")
+def map_keys_reversed(spark, sf_dir):
+    return register.ranked_keys(map_log(spark, sf_dir).ops, reverse=True).select("doc_id", "key_str", "pos")
+
+
+@query(NOW + "SELECT doc_id, count(DISTINCT key_str) AS length FROM shown GROUP BY doc_id")
+def map_length(spark, sf_dir):
+    return register.map_length(map_log(spark, sf_dir).ops).select("doc_id", "length")
+
+
+@query(NOW + "SELECT DISTINCT doc_id, key_str FROM r WHERE (doc_id, key_str) NOT IN (SELECT (doc_id, key_str) FROM shown)")
+def deleted_keys(spark, sf_dir):
+    return register.deleted_keys(map_log(spark, sf_dir).ops).select("doc_id", "key_str")
+
+
+@query(NOW + "SELECT doc_id, key_str, v AS value FROM cnt")
+def counter_values(spark, sf_dir):
+    s = state.state(map_log(spark, sf_dir).ops)
+    return s.where(state.is_counter() & F.col("visible")).select("doc_id", "key_str", F.col("current").alias("value"))
+
+
+@query(NOW + "SELECT concat(w.c, '@', w.a) AS id, doc_id, key_str FROM (SELECT doc_id, key_str, min(struct_pack(c := ctr, a := actor)) AS w FROM shown GROUP BY doc_id, key_str)")
+def printed_ids(spark, sf_dir):
+    w = register.winner(map_log(spark, sf_dir).ops)
+    return w.select("doc_id", "key_str", register.text_id().alias("id"))
+
+
+# operations and their links
+
+PRED = f"""WITH {DUCK}, pl AS (
+  SELECT doc_id, key_str, ctr, actor, own_prev AS p_ctr, actor AS p_actor FROM r WHERE own_prev IS NOT NULL AND own_prev_action = 'set'
+  UNION ALL SELECT a.doc_id, a.key_str, a.ctr, a.actor, q.ctr, q.actor FROM r a JOIN kl ON a.doc_id = kl.doc_id AND a.key_str = kl.key_str AND a.layer = kl.layer
+    JOIN r q ON q.doc_id = a.doc_id AND q.key_str = a.key_str AND q.layer = kl.prev_layer AND q.from_last = 1 AND q.action = 'set' WHERE a.own_prev IS NULL
+  UNION ALL SELECT doc_id, key_str, ctr, actor, k + 1, -1 FROM o WHERE action = 'inc') """
+
+
+@query(PRED + "SELECT doc_id, p_ctr AS ctr, p_actor AS actor, count(*) AS n_succ, string_agg(concat(ctr, '@', actor), ' ' ORDER BY ctr, actor) AS succ FROM pl GROUP BY doc_id, p_ctr, p_actor")
+def succ_lists(spark, sf_dir):
+    s = state.state(map_log(spark, sf_dir).ops, successors=True).where("n_succ > 0")
+    text = F.transform("succ", lambda x: F.concat(x["ctr"].cast("string"), F.lit("@"), x["actor"].cast("string")))
+    return s.select("doc_id", "ctr", "actor", "n_succ", F.array_join(text, " ").alias("succ"))
+
+
+@query(PRED + ", d AS (SELECT DISTINCT doc_id, p_ctr, p_actor FROM pl WHERE (doc_id, ctr, actor) IN (SELECT (doc_id, ctr, actor) FROM o WHERE action = 'del')) SELECT doc_id, ctr, actor, count(*) AS n_pred FROM pl WHERE (doc_id, ctr, actor) IN (SELECT (doc_id, ctr, actor) FROM o WHERE action = 'del') GROUP BY doc_id, ctr, actor")
+def synthesised_deletes(spark, sf_dir):
+    """What a snapshot, which keeps no deletions, implies about them."""
+    kept = state.state(map_log(spark, sf_dir).ops, successors=True).where("action <> 'del'")
+    return state.synthesised_deletes(kept).select("doc_id", "ctr", "actor", F.size("pred").cast("long").alias("n_pred"))
+
+
+@query(PRED + "SELECT DISTINCT pl.doc_id, p_ctr AS ctr, p_actor AS actor FROM pl JOIN o t ON t.doc_id = pl.doc_id AND t.ctr = p_ctr AND t.actor = p_actor JOIN o s ON s.doc_id = pl.doc_id AND s.ctr = pl.ctr AND s.actor = pl.actor WHERE t.layer % 4 = 1 AND s.layer % 4 <> 1")
+def dangling_preds(spark, sf_dir):
+    """Predecessors that are not in a log from which every fourth layer is missing."""
+    return state.dangling(map_log(spark, sf_dir).ops.where("layer % 4 <> 1")).select("doc_id", "ctr", "actor")
+
+
+@query(CHANGES + "SELECT o.doc_id, o.ctr, o.actor, ch.hash FROM o JOIN ch ON o.doc_id = ch.doc_id AND o.actor = ch.actor AND o.layer = ch.layer UNION ALL SELECT doc_id, g.g, -1, hash FROM (" + GENESIS + ") CROSS JOIN (SELECT CAST(unnest([1,2,3,4,5,6,7,8]) AS BIGINT) AS g) g")
+def op_to_change(spark, sf_dir):
+    log = map_log(spark, sf_dir)
+    return history.op_to_change(log.ops, log.changes)
+
+
+@query(CHANGES + "SELECT doc_id, hash, num_ops FROM allc")
+def ops_per_change(spark, sf_dir):
+    return map_log(spark, sf_dir).ops.groupBy("doc_id", F.col("change_hash").alias("hash")).agg(F.count("*").alias("num_ops"))
+
+
+@query(CHANGES + "SELECT doc_id, ctr, actor, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ctr, actor) AS BIGINT) AS pos FROM (SELECT doc_id, ctr, actor FROM o UNION ALL SELECT doc_id, g.g, -1 FROM top CROSS JOIN (SELECT CAST(unnest([1,2,3,4,5,6,7,8]) AS BIGINT) AS g) g)")
+def lamport_order(spark, sf_dir):
+    return history.lamport_order(map_log(spark, sf_dir).ops)
+
+
+# history
+
+
+@query(CHANGES + "SELECT a.doc_id, hash FROM allc a JOIN top ON a.doc_id = top.doc_id AND layer = l")
+def heads(spark, sf_dir):
+    return history.heads(map_log(spark, sf_dir).changes).select("doc_id", "hash")
+
+
+@query(CHANGES + f", start AS (SELECT doc_id, min(hash) AS hash FROM allc WHERE layer = {PAST} GROUP BY doc_id) SELECT a.doc_id, a.hash FROM allc a JOIN start s ON a.doc_id = s.doc_id WHERE a.layer < {PAST} OR a.hash = s.hash")
+def ancestors_of_head(spark, sf_dir):
+    c = map_log(spark, sf_dir).changes
+    return history.ancestors(c, past_heads(spark, sf_dir).groupBy("doc_id").agg(F.min("hash").alias("hash")))
+
+
+@query(CHANGES + f", start AS (SELECT doc_id, min(hash) AS hash FROM allc WHERE layer = {PAST} GROUP BY doc_id) SELECT a.doc_id, a.hash FROM allc a JOIN start s ON a.doc_id = s.doc_id WHERE a.layer > {PAST}")
+def dependents_closure(spark, sf_dir):
+    c = map_log(spark, sf_dir).changes
+    return history.dependents(c, past_heads(spark, sf_dir).groupBy("doc_id").agg(F.min("hash").alias("hash")))
+
+
+@query(CHANGES + f"SELECT doc_id, actor, max(max_op) AS max_op, max(seq) AS seq FROM allc WHERE layer <= {PAST} AND doc_id IN (SELECT doc_id FROM allc WHERE layer = {PAST}) GROUP BY doc_id, actor")
+def clock_at_heads(spark, sf_dir):
+    return history.clock_at(map_log(spark, sf_dir).changes, past_heads(spark, sf_dir))
+
+
+@query(CHANGES + f""", a AS (SELECT doc_id, actor, max(max_op) AS x FROM allc WHERE layer <= {PAST} OR actor % 2 = 0 GROUP BY doc_id, actor),
+b AS (SELECT doc_id, actor, max(max_op) AS y FROM allc WHERE layer <= {PAST} OR actor % 2 <> 0 GROUP BY doc_id, actor),
+f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.actor = b.actor)
+SELECT doc_id, CASE WHEN bool_and(x >= y) AND bool_and(x <= y) THEN 'equal' WHEN bool_and(x >= y) THEN 'greater' WHEN bool_and(x <= y) THEN 'less' ELSE 'concurrent' END AS "order" FROM f GROUP BY doc_id""")
+def clock_compare(spark, sf_dir):
+    a, b = replicas(spark, sf_dir)
+    return history.compare_clocks(history.clock(a), history.clock(b))
+
+
+def replicas(spark, sf_dir):
+    """Two replicas that parted after layer PAST: one has the changes of even actors, the other those of odd ones."""
+    c = map_log(spark, sf_dir).changes
+    both = F.col("layer") <= PAST
+    return c.where(both | (F.col("actor") % 2 == 0)), c.where(both | (F.col("actor") % 2 != 0))
+
+
+@query(CHANGES + f"SELECT doc_id, hash, actor, seq FROM allc WHERE layer > {PAST} OR doc_id NOT IN (SELECT doc_id FROM allc WHERE layer = {PAST})")
+def changes_since(spark, sf_dir):
+    return history.changes_since(map_log(spark, sf_dir).changes, past_heads(spark, sf_dir)).select("doc_id", "hash", "actor", "seq")
+
+
+@query(CHANGES + f"SELECT doc_id, hash FROM allc WHERE layer > {PAST} AND actor % 2 <> 0")
+def changes_added(spark, sf_dir):
+    a, b = replicas(spark, sf_dir)
+    return history.changes_added(a, b).select("doc_id", "hash")
+
+
+@query(CHANGES + "SELECT doc_id, count(*) AS n_changes, sum(num_ops)::BIGINT AS n_ops, max(max_op) AS max_op FROM allc GROUP BY doc_id")
+def merge_union(spark, sf_dir):
+    a, b = replicas(spark, sf_dir)
+    return history.merge(a, b).groupBy("doc_id").agg(F.count("*").alias("n_changes"), F.sum("num_ops").alias("n_ops"), F.max("max_op").alias("max_op"))
+
+
+@query(CHANGES + "SELECT DISTINCT a.doc_id, a.hash FROM allc a JOIN allc b ON a.doc_id = b.doc_id AND b.layer = a.layer + 1 WHERE a.layer % 7 = 3 AND b.layer % 7 <> 3")
+def missing_deps(spark, sf_dir):
+    """What a log from which every seventh layer is missing still refers to."""
+    return history.missing_deps(map_log(spark, sf_dir).changes.where("layer % 7 <> 3"))
+
+
+@query(CHANGES + "SELECT doc_id, hash FROM allc WHERE layer < 5 AND NOT (layer = 5)")
+def causally_ready(spark, sf_dir):
+    """What can be applied if layer 5 has not come."""
+    return history.ready(map_log(spark, sf_dir).changes.where("layer <> 5")).select("doc_id", "hash")
+
+
+@query(CHANGES + "SELECT doc_id, hash, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY layer, actor) AS BIGINT) AS pos FROM allc")
+def topological_order(spark, sf_dir):
+    return history.causal_order(map_log(spark, sf_dir).changes).select("doc_id", "hash", "pos")
+
+
+@query(CHANGES + "SELECT doc_id, actor, max_by(hash, seq) AS hash, max(seq) AS seq FROM allc GROUP BY doc_id, actor")
+def last_changes(spark, sf_dir):
+    return history.last_of_actor(map_log(spark, sf_dir).changes)
+
+
+@query(CHANGES + f", u AS (SELECT doc_id, actor, max(seq) AS used FROM allc WHERE layer <= {PAST} GROUP BY doc_id, actor) SELECT a.doc_id, a.actor, a.seq FROM allc a JOIN u ON a.doc_id = u.doc_id AND a.actor = u.actor WHERE a.seq - 3 <= used AND a.layer > {PAST}")
+def duplicate_seq(spark, sf_dir):
+    """Incoming changes that reuse a sequence number: those after layer PAST, numbered three too low."""
+    c = map_log(spark, sf_dir).changes
+    late = c.where(F.col("layer") > PAST).withColumn("own", F.col("seq")).withColumn("seq", F.col("seq") - 3)
+    return history.duplicate_seq(c.where(F.col("layer") <= PAST), late).select("doc_id", "actor", F.col("own").alias("seq"))
+
+
+@query(CHANGES + ", h AS (SELECT a.doc_id, string_agg(hash, ' ' ORDER BY hash) AS heads FROM allc a JOIN top ON a.doc_id = top.doc_id AND a.layer = top.l GROUP BY a.doc_id) SELECT allc.doc_id, CAST(1 AS BIGINT) AS seq, max(max_op) + 1 AS start_op, min(heads) AS deps FROM allc JOIN h ON h.doc_id = allc.doc_id GROUP BY allc.doc_id")
+def next_change(spark, sf_dir):
+    """With what a change of a new actor would begin."""
+    n = history.next_change(map_log(spark, sf_dir).changes, -99)
+    return n.select("doc_id", "seq", "start_op", F.array_join("deps", " ").alias("deps"))
+
+
+@query(THEN + f"SELECT doc_id, key_str, min_by(v, struct_pack(c := ctr, a := actor)) AS value, count(*) AS n_values FROM shown WHERE doc_id IN (SELECT doc_id FROM o WHERE layer = {PAST}) GROUP BY doc_id, key_str")
+def state_at_heads(spark, sf_dir):
+    log = map_log(spark, sf_dir)
+    then = history.ops_at(log.ops, log.changes, past_heads(spark, sf_dir))
+    return register.winner(then).select("doc_id", "key_str", F.col("current").alias("value"), "n_values")
+
+
+@query(THEN + f"SELECT doc_id, count(DISTINCT key_str) AS length FROM shown WHERE doc_id IN (SELECT doc_id FROM o WHERE layer = {PAST}) GROUP BY doc_id")
+def length_at_heads(spark, sf_dir):
+    log = map_log(spark, sf_dir)
+    return register.map_length(history.ops_at(log.ops, log.changes, past_heads(spark, sf_dir))).select("doc_id", "length")
+
+
+ONE = "SELECT doc_id, key_str, min(struct_pack(c := ctr, a := actor)) AS id, min_by(v, struct_pack(c := ctr, a := actor)) AS v, count(*) AS n FROM shown GROUP BY doc_id, key_str"
+
+
+@query(
+    f"WITH {DUCK}, " + VISIBLE.format(past=PAST) + f", w1 AS ({ONE}), " + VISIBLE.format(past=1 << 40).replace("m AS", "m2 AS").replace("JOIN m ON", "JOIN m2 ON").replace("m.", "m2.").replace("vis AS", "vis2 AS").replace("docs AS", "docs2 AS").replace("FROM docs d", "FROM docs2 d").replace("cnt AS", "cnt2 AS").replace("shown AS (SELECT * FROM vis UNION ALL SELECT * FROM cnt)", "shown2 AS (SELECT * FROM vis2 UNION ALL SELECT * FROM cnt2)") + f""",
+w2 AS ({ONE.replace('FROM shown', 'FROM shown2')}),
+f AS (SELECT coalesce(w1.doc_id, w2.doc_id) AS doc_id, coalesce(w1.key_str, w2.key_str) AS key_str, w1.id AS i1, w2.id AS i2, w1.v AS v1, w2.v AS v2, w2.n AS n FROM w1 FULL JOIN w2 ON w1.doc_id = w2.doc_id AND w1.key_str = w2.key_str
+      WHERE coalesce(w1.doc_id, w2.doc_id) IN (SELECT doc_id FROM o WHERE layer = {PAST})),
+k AS (SELECT *, CASE WHEN i2 IS NULL THEN 'delete' WHEN i1 IS NULL OR i1 <> i2 THEN 'put' WHEN v1 <> v2 THEN 'increment' END AS kind FROM f)
+SELECT doc_id, key_str, kind, v2 AS value, coalesce(n, 0) > 1 AS conflict FROM k WHERE kind IS NOT NULL"""
+)
+def patches_between_layers(spark, sf_dir):
+    log = map_log(spark, sf_dir)
+    at = past_heads(spark, sf_dir)
+    before = history.id_column(register.winner(history.ops_at(log.ops, log.changes, at)))
+    after = history.id_column(register.winner(log.ops.join(at.select("doc_id").distinct(), "doc_id", "left_semi")))
+    return history.patches(before, after, ["doc_id", "key_str"])
+
+
+# lists
+
+
+@query(f"WITH RECURSIVE {DUCK_LIST} SELECT conv_id AS doc_id, ctr, actor, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS pos FROM p WHERE len % 5 <> 0")
+def list_order(spark, sf_dir):
+    return sequence.elements(list_log(spark, sf_dir).ops).select("doc_id", "ctr", "actor", "pos")
+
+
+@query(f"WITH RECURSIVE {DUCK_LIST}, q AS (SELECT conv_id, ctr, actor, len, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS n FROM p WHERE len % 5 <> 0) SELECT conv_id AS doc_id, ctr, actor, len AS value FROM q WHERE n = 2")
+def list_nth(spark, sf_dir):
+    return sequence.nth(list_log(spark, sf_dir).ops, 1).select("doc_id", "ctr", "actor", F.col("current").alias("value"))
+
+
+@query(f"WITH RECURSIVE {DUCK_LIST} SELECT conv_id AS doc_id, string_agg(concat(ctr, '@', actor), ' ' ORDER BY path) AS keys FROM p WHERE len % 5 <> 0 GROUP BY conv_id")
+def list_keys(spark, sf_dir):
+    e = sequence.elements(list_log(spark, sf_dir).ops).withColumn("id", register.text_id())
+    return e.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("k")).select("doc_id", F.array_join(F.col("k.id"), " ").alias("keys"))
+
+
+@query("SELECT conv_id AS doc_id, count(*) AS length FROM conversations WHERE length(text) % 5 <> 0 GROUP BY conv_id")
+def list_length(spark, sf_dir):
+    return sequence.length(list_log(spark, sf_dir).ops).select("doc_id", "length")
+
+
+@query(f"WITH RECURSIVE {DUCK_LIST}, q AS (SELECT conv_id, ctr, actor, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS n FROM p WHERE len % 5 <> 0) SELECT conv_id AS doc_id, CAST(n AS BIGINT) AS idx, ctr AS ref_ctr, actor AS ref_actor FROM q UNION ALL SELECT DISTINCT conv_id, 0, 0, NULL FROM q")
+def insert_positions(spark, sf_dir):
+    return sequence.insertion_points(list_log(spark, sf_dir).ops).select("doc_id", F.col("index").alias("idx"), "ref_ctr", "ref_actor")
+
+
+# documents
+
+
+def customer_json(spark, sf_dir):
+    """One nested document per customer: name, and orders by key with their lines by number."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders", "lineitem")}
+    lines = t["lineitem"].groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")))).alias("ls"))
+    orders = t["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    line = F.transform(F.coalesce("ls", F.array().cast("array<struct<l_linenumber:bigint,l_partkey:bigint,q:bigint>>")), lambda x: F.struct(x["l_partkey"].alias("part"), x["q"].alias("qty")))
+    orders = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), line.alias("lines")))).alias("os"))
+    empty = F.from_json(F.lit("[]"), orders.schema["os"].dataType)
+    docs = t["customer"].join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return docs.select(F.col("c_custkey").alias("doc_id"), F.to_json(F.struct(F.col("c_name").alias("name"), F.coalesce("os", empty).alias("orders"))).alias("json"))
+
+
+PATHS = """WITH os AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+ls AS (SELECT c, i, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS BIGINT)) - 1 AS j FROM os JOIN lineitem ON l_orderkey = k),
+allp AS (SELECT c_custkey AS doc_id, '' AS path, 'map' AS type, NULL AS value FROM customer
+UNION ALL SELECT c_custkey, '/name', 'str', c_name FROM customer
+UNION ALL SELECT c_custkey, '/orders', 'list', NULL FROM customer
+UNION ALL SELECT c, concat('/orders/', i), 'map', NULL FROM os
+UNION ALL SELECT c, concat('/orders/', i, '/key'), 'int', CAST(k AS STRING) FROM os
+UNION ALL SELECT c, concat('/orders/', i, '/lines'), 'list', NULL FROM os
+UNION ALL SELECT c, concat('/orders/', i, '/lines/', j), 'map', NULL FROM ls
+UNION ALL SELECT c, concat('/orders/', i, '/lines/', j, '/part'), 'int', CAST(part AS STRING) FROM ls
+UNION ALL SELECT c, concat('/orders/', i, '/lines/', j, '/qty'), 'int', CAST(qty AS STRING) FROM ls) """
+
+
+@query(PATHS + "SELECT doc_id, path, type, value FROM allp")
+def json_flatten(spark, sf_dir):
+    return document.flatten(customer_json(spark, sf_dir))
+
+
+@query(PATHS + "SELECT doc_id, type, value FROM allp WHERE path = '/orders/1/lines/0/part'")
+def json_pointer_get(spark, sf_dir):
+    return document.pointer(document.flatten(customer_json(spark, sf_dir)), "/orders/1/lines/0/part").select("doc_id", "type", "value")
+
+
+@query(PATHS + "SELECT doc_id, path, type, value FROM allp")
+def nested_paths(spark, sf_dir):
+    """JSON into an operation log, and out of it again."""
+    return document.paths(document.from_json(customer_json(spark, sf_dir)))
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS name, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n_orders FROM customer")
+def to_json(spark, sf_dir):
+    j = document.to_json(document.from_json(customer_json(spark, sf_dir)))
+    return j.select("doc_id", F.get_json_object("json", "$.name").alias("name"), F.json_array_length(F.get_json_object("json", "$.orders")).cast("long").alias("n_orders"))
+
+
+# the sync protocol's filter
+
+PROBES = CHANGES + """, n AS (SELECT doc_id, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS m FROM allc GROUP BY doc_id),
+w AS (SELECT a.doc_id, a.hash, a.layer, m, CAST(concat('0x', hash[7:8], hash[5:6], hash[3:4], hash[1:2]) AS BIGINT) % m AS x,
+ CAST(concat('0x', hash[15:16], hash[13:14], hash[11:12], hash[9:10]) AS BIGINT) % m AS y, CAST(concat('0x', hash[23:24], hash[21:22], hash[19:20], hash[17:18]) AS BIGINT) % m AS z FROM allc a JOIN n ON a.doc_id = n.doc_id) """
+
+
+@query(PROBES + "SELECT doc_id, hash, i, (x + i * y + CAST(i * (i - 1) / 2 AS BIGINT) * z) % m AS probe FROM w CROSS JOIN (SELECT CAST(unnest([0,1,2,3,4,5,6]) AS BIGINT) AS i) t")
+def bloom_probes(spark, sf_dir):
+    c = map_log(spark, sf_dir).changes
+    m = c.groupBy("doc_id").agg(bloom.bits(F.count("*")).alias("m"))
+    p = c.join(m, "doc_id").select("doc_id", "hash", F.posexplode(bloom.probes(F.col("hash"), F.col("m"))).alias("i", "probe"))
+    return p.select("doc_id", "hash", F.col("i").cast("long").alias("i"), "probe")
+
+
+MEMBER = PROBES.replace("FROM allc GROUP BY doc_id)", f"FROM allc WHERE layer <= {PAST} GROUP BY doc_id)") + f""",
+pr AS (SELECT doc_id, hash, layer, (x + i * y + CAST(i * (i - 1) / 2 AS BIGINT) * z) % m AS bit FROM w CROSS JOIN (SELECT CAST(unnest([0,1,2,3,4,5,6]) AS BIGINT) AS i) t),
+bs AS (SELECT DISTINCT doc_id, bit FROM pr WHERE layer <= {PAST}),
+mem AS (SELECT pr.doc_id, pr.hash, pr.layer, bool_and(bs.bit IS NOT NULL) AS maybe FROM pr LEFT JOIN bs ON pr.doc_id = bs.doc_id AND pr.bit = bs.bit GROUP BY pr.doc_id, pr.hash, pr.layer) """
+
+
+@query(MEMBER + "SELECT doc_id, hash, maybe FROM mem")
+def bloom_membership(spark, sf_dir):
+    c = map_log(spark, sf_dir).changes
+    return bloom.may_contain(c, bloom.build(c.where(F.col("layer") <= PAST)))
+
+
+@query(MEMBER + ", lo AS (SELECT doc_id, min(layer) AS l FROM mem WHERE NOT maybe GROUP BY doc_id) SELECT mem.doc_id, mem.hash FROM mem JOIN lo ON mem.doc_id = lo.doc_id WHERE NOT maybe OR layer > l")
+def changes_to_send(spark, sf_dir):
+    """What a peer lacks by its filter of layers up to PAST, with all that builds on it."""
+    c = map_log(spark, sf_dir).changes
+    lacks = bloom.may_contain(c, bloom.build(c.where(F.col("layer") <= PAST))).where("not maybe").select("doc_id", "hash")
+    return lacks.union(history.dependents(c, lacks)).distinct()
+
+
+@query(CHANGES + f", t AS (SELECT doc_id, hash, layer FROM allc WHERE layer IN ({PAST}, {PAST + 1})) SELECT doc_id, string_agg(hash, ' ' ORDER BY hash) AS shared FROM t WHERE layer = {PAST + 1} GROUP BY doc_id")
+def advance_heads(spark, sf_dir):
+    """Shared heads after receiving a layer: new heads, and shared ones that are still heads."""
+    c = map_log(spark, sf_dir).changes
+    known = c.where(F.col("layer") <= PAST + 1)
+    old = c.where(F.col("layer") == PAST).groupBy("doc_id").agg(F.collect_set("hash").alias("old"))
+    new = history.heads(known.where(F.col("layer") >= PAST)).groupBy("doc_id").agg(F.collect_set("hash").alias("new"))
+    both = new.join(old, "doc_id", "left").withColumn("old", F.coalesce("old", F.array().cast("array<string>")))
+    shared = F.array_sort(F.array_union(F.array_except("new", "old"), F.array_intersect("old", "new")))
+    return both.join(c.where(F.col("layer") == PAST + 1).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_join(shared, " ").alias("shared"))
+
+
+# encodings and scalars
+
+
+@query("""WITH x AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events),
+y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run FROM x) SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS length FROM y GROUP BY user_id, run""")
+def rle_runs(spark, sf_dir):
+    return encoding.runs(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
+def delta_encode(spark, sf_dir):
+    return encoding.deltas(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id"), ["user_id"], "event_id", "event_id").select("user_id", "event_id", "delta")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id WHEN 1 THEN CAST(trunc(value) AS BIGINT) WHEN 5 THEN user_id END AS s64,
+CASE event_id % 6 WHEN 0 THEN CAST(user_id AS STRING) WHEN 1 THEN printf('%.6f', value) WHEN 2 THEN event_type WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN 4 THEN lower(hex(encode(event_type))) ELSE CAST(user_id AS STRING) END AS txt FROM events""")
+def scalar_casts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    which = F.col("event_id") % 6
+    tag = F.element_at(F.array(*[F.lit(t) for t in ("int", "f64", "str", "bool", "bytes", "uint")]), (which + 1).cast("int"))
+    value = F.struct(tag.alias("tag"), (F.col("user_id") % 2 == 0).alias("b"), F.col("user_id").alias("i"), F.col("user_id").cast("decimal(20,0)").alias("u"), F.col("value").alias("d"), F.col("event_type").alias("s"), F.col("event_type").cast("binary").alias("bin"))
+    e = e.select("event_id", value.alias("v"))
+    return e.select("event_id", scalars.to_s64(F.col("v")).alias("s64"), scalars.to_text(F.col("v")).alias("txt"))
