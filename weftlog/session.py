@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once, into the shared folder; what follows survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files and settled tables that nothing refers to any more.
+
+    It finds them when the driver collects garbage, which a driver with little to do may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
