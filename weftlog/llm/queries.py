@@ -49,4 +49,18 @@ def op10_decontaminate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_quality_model, op4_language_id, op5_near_dup, op6_quality_rules, op7_mixing, op8_token_counts, op9_license_scan, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
+  + 16 * (word_chars > 20 * n_words)::INT + 32 * (n_dup_lines > 20 AND 4 * n_dup_lines > n_words)::INT AS BIGINT) AS failed FROM m)
+SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f""",
+}
