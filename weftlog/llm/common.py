@@ -108,7 +108,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
         e = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: the smaller neighbours and the node itself go to the smallest of them
-        low = settle(e.groupBy("u").agg(F.min("v").alias("m")))
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = settle(e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct())
         now = mark(e)
         if now == was:

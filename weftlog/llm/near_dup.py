@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from weftlog.llm.common import components, map_texts, with_ids, without_ids
 from weftlog.llm.vector_text import LOWER, Words, mix, windows
-from weftlog.session import settle
+from weftlog.session import release, settle
 
 SHINGLE = 5
 #: Values that a sketch retains: the smallest hashes of a document's shingles.
@@ -20,8 +20,8 @@ KEEP = 32
 LEAST_SHARED = 0.5
 #: Bands of the first round: retained values by remainder, so many of the smallest of each.
 BANDS, BAND_ROWS = 8, 3
-#: Inverted lists longer than this are compared in blocks.
-LIST = 512
+#: Inverted lists longer than this make dense regions, compared in blocks of so many documents.
+LIST, BLOCK = 64, 256
 
 
 def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: int = KEEP) -> DataFrame:
@@ -38,8 +38,7 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
             if a == b:
                 sizes.append(0), keys.append(None), sketch.append([])
                 continue
-            sh = every[a : b - SHINGLE + 1] if b - a >= SHINGLE else mix(np.array([np.bitwise_xor.reduce(mix(h[a:b] + np.arange(b - a, dtype=np.uint64)))]))
-            sh = np.unique(sh)
+            sh = shingles(h, every, a, b)
             sizes.append(len(sh))
             keys.append(hashlib.blake2b(b" ".join(data[w.first[i] : w.first[i + 1]].split()), digest_size=16).digest())
             sketch.append(sh[:keep].view(np.int64))
@@ -101,32 +100,115 @@ def band_pairs(reps: DataFrame) -> DataFrame:
     return rows.join(first, "band").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
 
 
-def list_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Second round: pairs from inverted lists of retained values, across the components known so far.
+def inverted_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (rep, component, n, sketch, head, v) of inverted lists of retained values, and the lists (v, len) worth reading.
 
-    Sketches of a pair that is similar enough share LEAST_SHARED of their values (a chance of
-    about 5e-7 a pair at the threshold not to). So, with values in the order of their frequency, one of
-    the first (1 - LEAST_SHARED) * size + 1 of each is common: only those are listed, the rare ones first.
-    A list whose members are all of one component is dropped: it links nothing new. Lists over
-    LIST members are cut into blocks that meet pairwise. The union of two sketches then
-    estimates the similarity: a pair goes on if the estimate is within reach of the threshold.
+    Sketches of a pair that is similar enough share LEAST_SHARED of their values (a chance of about 5e-7 a pair at the
+    threshold not to). So, with values in the order of their frequency, one of the first
+    (1 - LEAST_SHARED) * size + 1 of each, its head, is common: only those are listed, the rare ones first, and passages
+    that very many documents share list nothing. A list whose members are all of one component links nothing new and is dropped.
     """
     values = settle(reps.select("rep", F.explode("sketch").alias("v")))
     often = settle(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # values of one document alone come first in the order and link nothing: their number is the sketch's size less the others
     shared = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     shared = shared.join(reps, "rep").withColumn("_room", F.size("sketch") - F.floor(F.size("sketch") * LEAST_SHARED) + 1 - (F.size("sketch") - F.size("s")))
-    shared = shared.where("_room > 0").select("rep", "component", "n", "sketch", F.explode(F.slice("s", F.lit(1), F.least(F.col("_room").cast("int"), F.size("s")))).alias("e")).select("rep", "component", "n", "sketch", F.col("e.v").alias("v"))
-    shared = settle(shared)
-    lists = shared.groupBy("v").agg(F.count("*").alias("len"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("v", F.ceil(F.col("len") / LIST).cast("int").alias("blocks"))
-    lists = settle(lists)
-    rows = shared.join(lists, "v").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a row meets every block once: as the left side in pairs (own, j), as the right side in (i, own), i <= j
-    left = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).select("v", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "sketch")])
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "own"))).select("v", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "sketch")])
-    near = (F.col("component_a") != F.col("component_b")) & ((F.col("i") < F.col("j")) | (F.col("rep_a") < F.col("rep_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    both = left.join(right, ["v", "i", "j"])
-    return both.where(near).where(estimate(percent)).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    shared = shared.where("_room > 0").withColumn("head", F.slice(F.col("s.v"), F.lit(1), F.greatest(F.lit(0), F.least(F.col("_room").cast("int"), F.size("s")))))
+    shared = settle(shared.select("rep", "component", "n", "sketch", "head", F.explode("head").alias("v")))
+    lists = shared.groupBy("v").agg(F.count("*").alias("len"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("rep").alias("first")).where("c1 < c2")
+    return shared, settle(lists.select("v", "len", "first"))
+
+
+def list_pairs(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Second round: pairs across components from lists of at most LIST members, so that a row meets fewer than LIST others.
+
+    A pair is taken in the first list that both are in. The union of the two sketches estimates the
+    similarity: a pair goes on if the estimate is within reach of the threshold.
+    """
+    rows = shared.join(lists.where(F.col("len") <= LIST).select("v"), "v")
+    left, right = (rows.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "sketch", "head")]) for x in "ab")
+    near = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    first = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("v")
+    return left.join(right, "v").where(near & first & estimate(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def region_pairs(shared: DataFrame, lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Third round: links across components within dense regions, the documents that long lists join.
+
+    A region is compared block by block on the full sets. A task holds two blocks of BLOCK documents, and passes on a
+    pair only if it is a link between parts that it did not know to be one: at most as many pairs as documents.
+    """
+    long = lists.where(F.col("len") > LIST).select("v", "first")
+    if long.isEmpty():
+        return shared.sparkSession.createDataFrame([], "a long, b long")
+    rows = shared.join(long, "v")
+    members = settle(rows.select("rep", "component", "first").distinct())
+    region = components(members.select("rep", "first"), "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("region"))
+    members = settle(members.select("rep", "component").distinct().join(region, "rep"))
+    sets = map_texts(with_ids(texts, "doc_id", members.select("rep"), "rep"), ["doc_id"], "text", [T.StructField("set", T.ArrayType(T.LongType()))], full_sets)
+    blocks = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    full = members.join(settle(sets), F.col("rep") == F.col("doc_id")).join(settle(blocks), "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    full = full.select("rep", "component", "set", "own", "region", F.explode(meets).alias("m")).select("rep", "component", "set", "own", "region", "m.i", "m.j")
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    return full.groupBy("region", "i", "j").applyInArrow(lambda rows: links_within(rows, percent), out)
+
+
+def full_sets(texts: list) -> list:
+    w = Words(texts, LOWER)
+    every = windows(w.hashes(), SHINGLE)
+    h = w.hashes()
+    return [[shingles(h, every, w.bounds[i], w.bounds[i + 1]).view(np.int64) for i in range(len(texts))]]
+
+
+def shingles(h: np.ndarray, every: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending, of the words a to b."""
+    if a == b:
+        return np.zeros(0, np.uint64)
+    if b - a < SHINGLE:
+        return mix(np.array([np.bitwise_xor.reduce(mix(h[a:b] + np.arange(b - a, dtype=np.uint64)))]))
+    return np.unique(every[a : b - SHINGLE + 1])
+
+
+def links_within(rows, percent: int):
+    """Links of a block pair, from full sets as bits of whole numbers; pairs of a part that is one already are skipped."""
+    import pyarrow as pa
+
+    reps, parts, own = rows["rep"].to_pylist(), rows["component"].to_pylist(), rows["own"].to_pylist()
+    sets = rows["set"].combine_chunks()
+    flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))))
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    common = times[place] > 1
+    width = int(rank[-1]) + 1 if len(rank) else 0
+    bits, sizes = [], np.diff(ends)
+    for k in range(len(reps)):
+        flags = np.zeros(width, bool)
+        at = slice(ends[k], ends[k + 1])
+        flags[rank[place[at][common[at]]]] = True
+        bits.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
+    root = {p: p for p in parts}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = sorted(range(len(reps)), key=lambda k: (sizes[k], reps[k]))
+    across = len(set(own)) > 1  # within one block in the group of the block with itself only
+    a, b = [], []
+    for p, k in enumerate(order):
+        for q in order[p + 1 :]:
+            if 100 * int(sizes[k]) < percent * int(sizes[q]):
+                break
+            if across and own[k] == own[q] or (x := find(parts[k])) == (y := find(parts[q])):
+                continue
+            n = (bits[k] & bits[q]).bit_count()
+            if 100 * n >= percent * (int(sizes[k]) + int(sizes[q]) - n):
+                root[max(x, y)] = min(x, y)
+                a.append(min(reps[k], reps[q])), b.append(max(reps[k], reps[q]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def estimate(percent: int):
@@ -156,10 +238,15 @@ def group(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str =
     one = reps.groupBy("rep").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))  # ids of several texts
     texts = d.where("text is not null")
     found = settle(confirm(settle(band_pairs(one)), texts, percent))
-    known = components(found, "a", "b")
-    known = settle(known)
+    known = settle(components(found, "a", "b"))
+    release(docs.sparkSession)
     now = one.join(known, one["rep"] == known["node"], "left").select("rep", "sketch", "n", F.coalesce("component", "rep").alias("component"))
-    more = settle(confirm(settle(list_pairs(settle(now), percent)), texts, percent))
+    shared, lists = inverted_lists(settle(now))
+    pairs = list_pairs(shared, lists, percent).union(region_pairs(shared, lists, texts, percent))
+    pairs = settle(pairs.distinct())
+    release(docs.sparkSession)
+    more = settle(confirm(pairs, texts, percent))
+    release(docs.sparkSession)
     final = settle(components(found.union(more), "a", "b"))
     named = settle(reps.join(final, reps["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id")))
     out = sk.select("doc_id", "n_shingles", "key").join(named, "key", "left")
