@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +32,7 @@ def closure(changes: DataFrame, start: DataFrame, down: bool = False) -> DataFra
     """
     marked = changes.select("doc_id", "hash", "deps").join(start.select("doc_id", "hash", F.lit(True).alias("start")).distinct(), ["doc_id", "hash"], "left").fillna(False, ["start"])
 
-    def one(rows: pd.DataFrame) -> list[tuple]:
+    def one(rows: dict[str, list]) -> list[tuple]:
         known = dict(zip(rows["hash"], rows["deps"], strict=True))
         if down:
             to: dict = {}
@@ -42,14 +41,14 @@ def closure(changes: DataFrame, start: DataFrame, down: bool = False) -> DataFra
                     to.setdefault(d, []).append(h)
         else:
             to = known
-        seen = set(rows["hash"][rows["start"]])
+        seen = {h for h, s in zip(rows["hash"], rows["start"], strict=True) if s}
         stack = list(seen)
         while stack:
             for h in to.get(stack.pop(), ()):
                 if h in known and h not in seen:
                     seen.add(h)
                     stack.append(h)
-        doc = rows["doc_id"].iloc[0]
+        doc = rows["doc_id"][0]
         return [(doc, h) for h in seen]
 
     schema = T.StructType([changes.schema["doc_id"], changes.schema["hash"]])

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftlog.operators.state import ID, OBJECT, op_id, visible
 
 
-def by_group(df: DataFrame, keys: list[str], out: T.StructType, one: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
-    """Applies `one` to the rows of each group: dealt by key, sorted within tasks, one group in memory at a time."""
+def by_group(df: DataFrame, keys: list[str], out: T.StructType, one: Callable[[dict[str, list]], list[tuple]]) -> DataFrame:
+    """Applies `one` (a group's columns as lists) to each group: dealt by key, sorted within tasks, one group in memory at a time."""
+    arrow = to_arrow_schema(out)
+    names = df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[pd.DataFrame] = []
-        here = None
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame.from_records(rows, columns=out.names)
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, done = None, {}, []
         for batch in batches:
-            done: list[tuple] = []
-            # rows are sorted by key: groups are stretches
-            new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-            starts = [*new.nonzero()[0], len(batch)]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                part = batch.iloc[lo:hi]
-                key = tuple(part.iloc[0][k] for k in keys)
-                if parts and key != here:
-                    done += one(pd.concat(parts) if len(parts) > 1 else parts[0])
-                    parts = []
-                here = key
-                parts.append(part)
-            yield frame(done)
-        if parts:
-            yield frame(one(pd.concat(parts) if len(parts) > 1 else parts[0]))
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, out)
+            columns = [c.to_pylist() for c in batch.columns]
+            lo = 0
+            for key, stretch in itertools.groupby(zip(*(columns[names.index(k)] for k in keys), strict=True)):
+                hi = lo + sum(1 for _ in stretch)
+                part = {n: c[lo:hi] for n, c in zip(names, columns, strict=True)}
+                lo = hi
+                if held and key == here:
+                    for n, c in part.items():
+                        held[n] += c
+                    continue
+                if held:
+                    done += one(held)
+                here, held = key, part
+            if len(done) >= 10_000:
+                yield table(done)
+                done = []
+        yield table(done + (one(held) if held else []))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 
 def walk(rows: list[tuple]) -> list[tuple]:
@@ -66,9 +71,9 @@ def order(ops: DataFrame) -> DataFrame:
     e = ops.where("insert").select(*OBJECT, *ID, F.col("key_ctr").alias("ref_ctr"), F.col("key_actor").alias("ref_actor"))
     schema = T.StructType([e.schema[c] for c in [*OBJECT, *ID]] + [T.StructField("place", T.LongType())])
 
-    def one(rows: pd.DataFrame) -> list[tuple]:
+    def one(rows: dict[str, list]) -> list[tuple]:
         found = walk(list(zip(rows["ctr"], rows["actor"], rows["ref_ctr"], rows["ref_actor"], strict=True)))
-        own = tuple(rows[c].iloc[0] for c in OBJECT)
+        own = tuple(rows[c][0] for c in OBJECT)
         return [(*own, *e, i) for i, e in enumerate(found)]
 
     return by_group(e, OBJECT, schema, one)
