@@ -18,7 +18,7 @@ EDITS = 0.1
 #: Bytes of a block. An item has more whole blocks than edits, so some stay as they are.
 BLOCK = 8
 #: Random walks, samples of each, places in a sample.
-WALKS, SAMPLES, PLACES = 3, 16, 2
+WALKS, SAMPLES, PLACES = 5, 64, 4
 SEED = 20_11
 #: Items that one pass takes at most, in bytes.
 MOST_BYTES = 32 << 20
@@ -189,11 +189,14 @@ def find(items: Items, texts: list) -> list[dict[int, int]]:
         d, i, s = doc[lo : lo + 4096], item[lo : lo + 4096], start[lo : lo + 4096]
         begin = np.maximum(s, first[d])
         windows = [raw[b : min(b + n, e)] for b, n, e in zip(begin, items.lengths[i], first[d + 1] - 1, strict=True)]
+        seen = (-1, -1, 0)
         for k in np.flatnonzero(items.similar(windows, i)):
             dd, ii, most = int(d[k]), int(i[k]), int(items.edits[i[k]])
-            if found[dd].get(ii, most + 1) == 0:
+            if found[dd].get(ii, most + 1) == 0 or seen[:2] == (dd, ii) and begin[k] <= seen[2]:
                 continue
-            around = raw[max(first[dd], begin[k] - most) : min(begin[k] + items.lengths[ii] + most, first[dd + 1] - 1)]
+            # what is looked at holds every passage that begins up to `most` after this window: those need no look of their own
+            seen = dd, ii, begin[k] + most
+            around = raw[max(first[dd], begin[k] - most) : min(begin[k] + items.lengths[ii] + 2 * most, first[dd + 1] - 1)]
             t = items.texts[ii]
             e = 0 if t in around else distance(t, around, most)
             if e <= most:
