@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from weftlog.functions import bloom, scalars
 from weftlog.operators import document, encoding, history, register, sequence, state
 from weftlog.plans.logs import DUCK, DUCK_LIST, list_log, map_log
+from weftlog.session import settle
+from weftlog.sources import tables
 
 #: The layer at which the queries about the past look.
 PAST = 20
@@ -360,6 +362,23 @@ def to_json(spark, sf_dir):
     return j.select("doc_id", F.get_json_object("json", "$.name").alias("name"), F.json_array_length(F.get_json_object("json", "$.orders")).cast("long").alias("n_orders"))
 
 
+@query(PATHS + "SELECT doc_id, count(*) - 1 AS n_ops, 1::BIGINT AS n_changes, 5 * count(*) FILTER (WHERE type = 'map' AND path = '') AS five FROM allp GROUP BY doc_id")
+def codec_roundtrip(spark, sf_dir):
+    """Documents into snapshots, and the changes and operations that are read from these; a wrong checksum or head would raise."""
+    made = settle(tables.import_json(customer_json(spark, sf_dir)))
+    back = settle(tables.decode(tables.encode(made)))
+    same = back.select("doc_id", "hash").intersect(made.select("doc_id", "hash")).groupBy("doc_id").agg(F.count("*").alias("same"))
+    sums = back.groupBy("doc_id").agg(F.sum(F.size("ops")).cast("long").alias("n_ops"), F.count("*").alias("n_changes"))
+    return sums.join(same, "doc_id").select("doc_id", "n_ops", "n_changes", (5 * F.col("same")).alias("five"))
+
+
+@query("SELECT c_custkey AS doc_id, 1::BIGINT AS n_changes, true AS equal FROM customer")
+def sync_converge(spark, sf_dir):
+    """Every document goes to a peer that has nothing, by the messages of the sync protocol."""
+    made = settle(tables.import_json(customer_json(spark, sf_dir)))
+    return tables.synchronise(made, made.limit(0)).select("doc_id", "n_changes", "equal")
+
+
 # the sync protocol's filter
 
 PROBES = CHANGES + """, n AS (SELECT doc_id, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS m FROM allc GROUP BY doc_id),
