@@ -16,7 +16,9 @@ from weftlog.session import settle
 #: Words of most contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at most, but for a single longer text.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
+#: Whole texts that one Arrow batch holds at most: batches lie outside the heap, once on each side.
+BATCH_TEXTS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +127,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     """
     names = keep if text in keep else [*keep, text]
     df = df.select(*names)
+    conf, batch = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(batch, "10000")) <= BATCH_TEXTS:
+        conf.set(batch, str(BATCH_TEXTS))
     at, schema = names.index(text), T.StructType([*[f for c in keep for f in df.schema.fields if f.name == c], *fields])
     arrow = to_arrow_schema(schema)
 

@@ -41,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    p, q = _powers(1 << max(22, int(n).bit_length()))
+    p, q = _powers(1 << max(20, int(n).bit_length()))
     return p[:n], q[:n]
 
 
