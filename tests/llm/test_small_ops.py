@@ -236,6 +236,31 @@ def test_edit_distance_and_recall():
     assert decontaminate.find(box, [bytes(rng.choice(b"abcdefghij klmnop") for _ in range(3000)) for _ in range(20)]) == [{}] * 20
 
 
+def edited(rng, item, most):
+    t = bytearray(item)
+    for _ in range(most):
+        at, what = rng.randrange(len(t)), rng.randrange(3)
+        if what == 0:
+            t[at : at + 1] = bytes([rng.choice(b"qrs")])
+        elif what == 1:
+            del t[at]
+        else:
+            t.insert(at, rng.choice(b"qrs"))
+    return bytes(t)
+
+
+def test_recall_of_long_items():
+    import random
+
+    rng = random.Random(10)
+    items = [decontaminate.normal(bytes(rng.choice(b"abcdefghij klmnop") for _ in range(n))) for n in (390, 1000, 2000, 4000)]
+    box = decontaminate.Items(list(range(4)), items)
+    for k in range(40):
+        i = k % 4
+        (got,) = decontaminate.find(box, [b"tuv wxyz " * rng.randrange(20) + edited(rng, items[i], int(box.edits[i])) + b" zyx" * 30])
+        assert i in got
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog, twice; then it sleeps."), (2, None), (None, "x" * 99), (3, "short"), (4, "The quick brown fox jumps over the lazy dog, twice; then it sleeps.")], "item_id long, text string")
     texts = ["a THE quick  brown fox jumped over the lazy dog - twice; then it sleeps. b", "the quick brown fox", *ODD]

@@ -19,6 +19,8 @@ EDITS = 0.1
 BLOCK = 8
 #: Random walks, samples of each, places in a sample.
 WALKS, SAMPLES, PLACES = 5, 64, 4
+#: Items of more bytes are not sampled: walks of long items drift apart, so every window that the blocks leave is verified.
+LONG = 128
 SEED = 20_11
 #: Items that one pass takes at most, in bytes.
 MOST_BYTES = 32 << 20
@@ -86,12 +88,13 @@ class Items:
         self.need = np.maximum(1, self.lengths // BLOCK - self.edits)
         self.known = np.zeros(1 << 20, bool)
         self.known[self.slot(self.code)] = True
-        self.longest = int(self.lengths.max(initial=1))
+        #: of the items that are sampled
+        self.longest = int(self.lengths[self.lengths <= LONG].max(initial=1))
         rng = np.random.default_rng(SEED)
         self.walks = [Walk(SEED + k, self.longest) for k in range(WALKS)]
         #: places of a sample, as parts of the item's length: windows of each item are sampled along all of it
         self.samples = rng.random((WALKS, SAMPLES, PLACES))
-        self.own = [self.outputs(w, self.pad(self.texts), self.lengths) for w in self.walks] if n else []
+        self.own = [self.outputs(w, self.pad(self.texts), np.minimum(self.lengths, self.longest)) for w in self.walks] if n else []
 
     @staticmethod
     def slot(code: np.ndarray) -> np.ndarray:
@@ -108,7 +111,13 @@ class Items:
         return walk.embed(rows, lengths, 2 * int(lengths.max(initial=1)))
 
     def similar(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
-        """Which windows share a bucket with their item: all places of some sample agree."""
+        """Which windows are to be verified: those of long items, and those that share a bucket with their item (all places of some sample agree)."""
+        ok = self.lengths[item] > LONG
+        short = np.flatnonzero(~ok)
+        ok[short] = self.bucketed([windows[k] for k in short], item[short])
+        return ok
+
+    def bucketed(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
         rows, n = self.pad(windows), self.lengths[item]
         ok = np.zeros(len(windows), bool)
         for k, walk in enumerate(self.walks):
@@ -219,9 +228,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     """`keep` columns, then leaks: array<struct<item_id, edits>>, the items that the whole text holds.
 
     An item is held if some part of the text is within EDITS of its bytes, both lower-cased and with each run
-    of white space or punctuation as one space. Windows of the item's size that keep enough of its blocks are embedded by random walks that
-    turn edits into differing places; bit samples of the outputs put window and item in common buckets (for a
-    passage at the limit with a chance of over 0.99), and an exact edit distance decides.
+    of white space or punctuation as one space. Windows of the item's size that keep enough of its blocks go to an exact edit
+    distance, which decides: all of them for an item of over LONG bytes, so that none of its passages is left out; for a
+    shorter one those that random walks, which turn edits into differing places, and bit samples of the outputs put in a
+    common bucket with the item (a passage at the limit with a chance of over 0.99).
     A null or empty text holds none; items with a null text or id, or shorter than LEAST_BYTES, are not sought.
     """
     box = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
