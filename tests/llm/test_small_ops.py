@@ -197,6 +197,22 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_license_over_lines(spark):
+    import textwrap
+
+    sentences = [s for _, s in license_scan.TEMPLATES]
+    wrapped = ["\n".join("# " + x for x in textwrap.wrap("Some words go before. " + s + ". More come after it.", 30)) for s in sentences]
+    texts = [*wrapped, "a\n" + "\n".join(sentences[9].split()) + "\nb c\n" + "\n".join(sentences[10].split()), "\n".join(sentences[12].split()), sentences[8] + "\n" + sentences[9], "\n".join("the license of this work and software\n" for _ in range(300))]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0 and got[i].n_blocks == 1, i
+    n = len(sentences)
+    assert (got[n].labels, got[n].n_blocks) == ("bsd-3,mpl-2", 2)
+    assert "cc-by" not in got[n + 1].labels.split(",")
+    assert (got[n + 2].labels, got[n + 2].n_blocks) == ("bsd-3", 2)
+    assert (got[n + 3].labels, got[n + 3].n_blocks, got[n + 3].score) == ("", 0, 0.0)
+
+
 def test_edit_distance_and_recall():
     import random
 

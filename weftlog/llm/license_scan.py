@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from dataclasses import dataclass
@@ -69,7 +70,7 @@ def frequencies(docs: DataFrame, vocabulary: list[bytes], text: str = "text") ->
 
 
 def blocks(text: bytes | None):
-    """The blocks of a text: its lines, as words. A license line that is one of several in a paragraph is found in its line."""
+    """The lines of a text, as words. A license line that is one of several in a paragraph is found in its line; `runs` has the blocks across lines."""
     for line in (text or b"").translate(KEEP_LINES).split(b"\n"):
         w = line.split()
         if w:
@@ -85,6 +86,7 @@ class Template:
     label: str
     need: int  # common words for the containment
     size: int
+    length: int  # words of the sentence, repeats counted
     rank: dict  # word: its place, the rarest of the corpus first
     head: frozenset  # the prefix: a block with enough of the words has one of these
 
@@ -94,7 +96,7 @@ def prepare(templates: list[tuple[str, str]], often: dict[bytes, int], containme
     for label, sentence in templates:
         own = sorted(set(words_of(sentence.encode())), key=lambda w: (often.get(w, 0), w))
         need = math.ceil(containment * len(own) - 1e-9)
-        out.append(Template(label, need, len(own), {w: i for i, w in enumerate(own)}, frozenset(own[: len(own) - need + 1])))
+        out.append(Template(label, need, len(own), len(words_of(sentence.encode())), {w: i for i, w in enumerate(own)}, frozenset(own[: len(own) - need + 1])))
     return out
 
 
@@ -116,6 +118,74 @@ def match(block: list[bytes], index: dict[bytes, list[int]], templates: list[Tem
     return found
 
 
+def runs(words: list[bytes], index: dict[bytes, list[int]], templates: list[Template]) -> list[tuple[int, int, int, float]]:
+    """(start, end, template, containment) of word runs, whatever their lines, of a template's length that hold enough of its words.
+
+    The text as a whole goes through the filters of `match` first. Of runs of one template that overlap, the one that holds most stays.
+    """
+    some = match(words, index, templates)
+    if not some:
+        return []
+    places: dict[bytes, list[int]] = {w: [] for i in some for w in templates[i].rank}
+    for k, w in enumerate(words):
+        if w in places:
+            places[w].append(k)
+    out = []
+    for i in some:
+        t = templates[i]
+        at = sorted((k, r) for w, r in t.rank.items() for k in places[w])
+        held, common, end, fits = [0] * t.size, 0, 0, []
+        for k, r in at:  # a run begins with a word of the template
+            while end < len(at) and at[end][0] < k + t.length:
+                common += held[at[end][1]] == 0
+                held[at[end][1]] += 1
+                end += 1
+            if common >= t.need:
+                fits.append((-common, at[end - 1][0] + 1 - k, k))
+            held[r] -= 1
+            common -= held[r] == 0
+        taken: list[int] = []  # starts and ends by turns, in order
+        for less, n, k in sorted(fits):
+            j = bisect.bisect_right(taken, k)
+            if j % 2 == 0 and (j == len(taken) or taken[j] >= k + n):
+                taken[j:j] = [k, k + n]
+                out.append((k, k + n, i, -less / t.size))
+    return out
+
+
+def across(words: list[bytes], ends: list[int], index: dict[bytes, list[int]], templates: list[Template]) -> list[tuple[int, int, int, float]]:
+    """The runs that go over the end of a line, less those whose words another template tells more of; `ends`: words up to each line's end."""
+    found = sorted(runs(words, index, templates))
+    out = []
+    for k, (a, b, i, c) in enumerate(found):
+        if bisect.bisect_right(ends, a) == bisect.bisect_left(ends, b):
+            continue  # in one line, which is a block itself
+        near = []  # runs on mostly the same words
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(found) and abs(found[j][0] - a) < 2 * max(b - a, most_length(templates)):
+                if 2 * (min(b, found[j][1]) - max(a, found[j][0])) >= min(b - a, found[j][1] - found[j][0]):
+                    near.append(found[j])
+                j += step
+        if not any(closer(templates, {i: c, j: d}, i, j) for _, _, j, d in near if j != i):
+            out.append((a, b, i, c))
+    return out
+
+
+def alone(spans: list[tuple[int, int]], lines: list[tuple[int, int]]) -> int:
+    """Into how many blocks spans that overlap fall, without those that overlap a line."""
+    n, end, own = 0, -1, False
+    for a, b, line in sorted([(a, b, False) for a, b in spans] + [(a, b, True) for a, b in lines]):
+        if a >= end:
+            n, own, end = n + own, True, b
+        own, end = own and not line, max(end, b)
+    return n + own
+
+
+def most_length(templates: list[Template]) -> int:
+    return max(t.length for t in templates)
+
+
 def closer(templates: list[Template], found: dict[int, float], i: int, j: int) -> bool:
     """Whether template j tells more of a block that both match: it has most of i's words, as high a containment and more in common."""
     a, b = templates[i], templates[j]
@@ -129,7 +199,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     Returns doc_id, n_words, n_base (places of all phrases), first_word and last_word (smallest and
     largest start of one, from 0; null without), base_labels and labels (distinct, sorted, joined by commas; labels
     holds the base ones and the method's), score (1 for a phrase, else the highest containment of at
-    least the threshold, else 0), n_blocks (blocks that a template matched). Every line is a block: all
+    least the threshold, else 0), n_blocks (blocks that a template matched). Every line is a block, and so is every
+    run of as many words as a template has that goes over a line's end (runs that overlap each other or a line that
+    matched count as one block with it): all
     blocks with |block and template| >= containment * |template| are found; of templates that share most of
     their words, the one that has more in common with the block gives the label. A null or empty text has no words and empty
     labels. Repeated rows are scanned each; other columns are not read.
@@ -159,11 +231,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
                         base.add(label)
                         at = joined.find(p, at + 1)
             labels, score, hits = set(base), 1.0 if starts else 0.0, 0
+            ends, matched = [0], []
             for block in blocks(t):
+                ends.append(ends[-1] + len(block))
                 if not index.keys().isdisjoint(block) and (found := match(block, index, ready)):
                     hits += 1
+                    matched.append((ends[-2], ends[-1]))
                     labels |= {ready[i].label for i in found if not any(closer(ready, found, i, j) for j in found)}
                     score = max(score, *found.values())
+            if len(ends) > 2 and not index.keys().isdisjoint(words):
+                more = across(words, ends[1:-1], index, ready)
+                labels |= {ready[i].label for _, _, i, _ in more}
+                score = max([score, *(c for *_, c in more)])
+                hits += alone([(a, b) for a, b, _, _ in more], matched)
             row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, hits)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
