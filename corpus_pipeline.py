@@ -27,7 +27,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out until the sources come near their target weights."""
+    """Documents are repeated or left out until the sources come near their target weights, in the order of the schedule."""
     return mixing.repeat(docs, mixing.mix(docs))
 
 

@@ -107,6 +107,24 @@ def test_mixing(spark, odd):
             assert of[r.doc_id] == 0
 
 
+def test_mixed_corpus_follows_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "word " * (15 + i % 11), f"s{i % 3}") for i in range(360)] + [(0, "word " * 15, "s0"), (0, "other " * 15, "s0")], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, slots=1024).collect()
+    slot_of = {r.slot: r.source_no for r in mixing.schedule(spark, [(i, float(r.target)) for i, r in enumerate(sorted({r.source: r for r in rows}.values(), key=lambda r: r.source))], 1024).collect()}
+    starts = [(s.slot, r.source) for r in rows for s in r.starts]
+    assert starts and all(x >= 1024 or f"s{slot_of[x]}" == source for x, source in starts)
+    for r in rows:  # as many beginnings as it takes for the words
+        assert len(r.starts) == -(-r.taken // r["size"]) and [s.at for s in r.starts] == sorted(s.at for s in r.starts)
+        assert r.taken == sum(max(0, min(r["size"], sum(x.taken for x in rows if x.source == r.source) - s.at)) for s in r.starts)
+    mixed = mixing.repeat(docs, mixing.mix(docs, slots=1024)).collect()
+    assert len(mixed) == sum((2 * r.taken + r["size"]) // (2 * r["size"]) for r in rows)
+    words, share = collections.Counter(), {r.source: r.target for r in rows}
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+        seen = sum(words.values())
+        assert all(abs(words[s] - seen * share[s] / sum(share.values())) < 80 for s in share)
+
+
 def test_targets_and_schedule(spark):
     t = mixing.targets({"a": 10, "b": 10, "c": 1000}, {"a": 1, "b": 2, "c": 1})
     assert t == {"a": 30.0, "b": 30.0, "c": 960.0}

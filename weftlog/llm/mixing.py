@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlog.llm.common import bits_for, running, word_count
@@ -55,8 +55,6 @@ def schedule(spark: SparkSession, shares: list[tuple[int, float]], slots: int =
 
 def ranked(point: DataFrame) -> DataFrame:
     """Gapless ranks of slots per source, stretch by stretch."""
-    from pyspark.sql import Window
-
     counts = point.groupBy("source_no", "_stretch").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("source_no").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("source_no", "_stretch", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_from"))
@@ -71,10 +69,11 @@ def mix(docs: DataFrame, slots: int = SLOTS, text: str = "text", source: str = "
     seeded shuffle, form one stretch of words cut into blocks of equal tokens; the schedule's
     k-th slot of a source takes its k-th block, beginning again after the last. A source stops
     at its target; what rounding of the schedule leaves of a target comes in further blocks at
-    the end. So a document is taken whole a number of times, and once more or in part if
-    the last pass reaches it.
+    the end. A document takes the words that the blocks of its source's slots have of it: whole a number
+    of times, and once more or in part if the last pass reaches it.
 
-    Returns doc_id, source, size (words), source_size, target, taken. Documents without words take
+    Returns doc_id, source, size (words), source_size, target, taken, passes, starts (for each time that the document
+    is taken its place in the source's passes and the slot of the block in which it begins). Documents without words take
     none. A null text has no words; an empty table gives no rows. Only the sources' totals
     (one row a source) come to the driver. Same input, same result.
     """
@@ -88,22 +87,33 @@ def mix(docs: DataFrame, slots: int = SLOTS, text: str = "text", source: str = "
     total = sum(s for s, _ in sums.values())
     quota = {k: min(round(goal[k]), MOST_REPEATS * sums[k][0]) for k in names}
     block = max(1, -(-total // slots))  # words of a block
-    took = {k: 0 for k in names}
-    if total:
-        sched = schedule(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], slots)
-        limit = F.element_at(F.create_map(*[x for k in names for x in (F.lit(no[k]), F.lit(quota[k]).cast("long"))]), F.col("source_no"))
-        words = F.greatest(F.lit(0), F.least(F.lit(block), limit - F.col("rank") * block))
-        for r in sched.groupBy("source_no").agg(F.sum(words).alias("w")).collect():
-            took[names[r["source_no"]]] = r["w"]
-        took = {k: took[k] + max(0, quota[k] - took[k]) for k in names}  # the blocks at the end
-    info = spark.createDataFrame([(no[k], k, sums[k][0], goal[k], took[k]) for k in names], "_no int, _source string, source_size long, target double, _took long")
+    info = spark.createDataFrame([(no[k], k, sums[k][0], goal[k], quota[k]) for k in names], "_no int, _source string, source_size long, target double, _took long")
     d = d.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = sum(n for _, n in sums.values())
     d = running(d, ["_no"], turn_of(F.col("doc_id")), ["doc_id", "size"], bits_for(rows), value="size", name="_at")
-    passes = F.floor(F.col("_took") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
-    rest = F.col("_took") - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), passes.alias("passes"))
+    d = settle(d.withColumn("passes", F.floor(F.col("_took") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")))
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    idle = d.where("size = 0 or _at >= _took").select(*columns, F.lit(0).cast("long").alias("taken"), "passes", F.expr("cast(array() as array<struct<at: bigint, slot: bigint>>)").alias("starts"))
+    if not total:
+        return idle
+    # each time that a document comes up, from word _from to _to of its source's passes, and the blocks that hold it
+    again = F.floor((F.col("_took") - 1 - F.col("_at")) / F.col("source_size")).cast("long")
+    d = d.where("size > 0 and _at < _took").withColumn("_from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), again), lambda p: F.col("_at") + p * F.col("source_size"))))
+    d = d.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_took")))
+    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long"))))
+    words = F.least(F.col("_to"), (F.col("rank") + 1) * block) - F.greatest(F.col("_from"), F.col("rank") * block)
+    # the block meets its slot; those after a source's last slot come at the end
+    sched = settle(schedule(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], slots))
+    held = sched.groupBy("source_no").agg(F.count("*").alias("_held"))
+    key = (F.col("source_no").cast("long") * F.lit(1 << 32) + F.col("rank")).alias("_block")
+    d = d.withColumn("_block", F.col("_no").cast("long") * F.lit(1 << 32) + F.col("rank")).join(F.broadcast(sched.select(key, "slot")), "_block", "left")
+    d = d.join(F.broadcast(held), F.col("_no") == F.col("source_no"), "left")
+    slot = F.coalesce("slot", slots + F.col("rank") - F.coalesce("_held", F.lit(0)))
+    begins = F.when(F.col("rank") == F.floor(F.col("_from") / block), F.struct(F.col("_from").alias("at"), slot.alias("slot")))
+    # a document is its place in its source, as ids may repeat
+    firsts = [F.first(c).alias(c) for c in columns]
+    d = d.groupBy("_no", "_at").agg(*firsts, F.sum(words).cast("long").alias("taken"), F.first("passes").alias("passes"), F.sort_array(F.collect_list(begins)).alias("starts"))
+    return idle.unionByName(d.drop("_no", "_at"))
 
 
 def turn_of(doc_id):
@@ -112,19 +122,19 @@ def turn_of(doc_id):
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each row of `docs` as often as its words were taken, to the nearest whole number.
+    """The mixed corpus in the order of the schedule: each row of `docs` as often as its words were taken, to the nearest whole number.
 
-    A source's documents are taken `passes` times, and those up to a place in its shuffle once more: that place, one row
-    a source, is all that goes to the documents, whose texts are not shuffled. Documents without words go.
+    Every repeat stands where the block comes in which it begins, so any stretch of rows holds the sources close to their
+    shares. Rows that agree in id, source and words are told apart by number. Documents without words go.
     """
-    more = mixed.where("size > 0 and 2 * (taken - passes * size) >= size").groupBy("source").agg(F.max(turn_of(F.col("doc_id"))).alias("_last"))
-    base = mixed.where("size > 0").groupBy("source").agg(F.max("passes").alias("_passes"))
-    plan = base.join(more, base["source"].eqNullSafe(more["source"]), "left").select(base["source"].alias("_source"), "_passes", "_last").collect()
-    plan = docs.sparkSession.createDataFrame([tuple(r) for r in plan], "_source string, _passes long, _last long")
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    plan = mixed.where("taken > 0").select(F.struct("doc_id", "source", "size").alias("_key"), F.slice("starts", F.lit(1), times).alias("_starts")).where("size(_starts) > 0")
+    plan = plan.groupBy("_key").agg(F.sort_array(F.collect_list("_starts")).alias("_all"))
     names = docs.columns
     d = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     col = {c: f"_c{i}" for i, c in enumerate(names)}
-    times = F.col("_passes") + F.when(turn_of(F.col(col[doc_id])) <= F.col("_last"), 1).otherwise(0)
-    d = d.where(F.col(col[text]).rlike(r"[^\x20\x09-\x0D]")).join(F.broadcast(plan), F.col(col[source]).eqNullSafe(F.col("_source")))
-    d = d.withColumn("_times", times.cast("int")).where("_times > 0")
-    return d.select(*col.values(), F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).drop("_i").toDF(*names)
+    d = d.withColumn("_size", word_count(F.col(col[text]))).where("_size > 0")
+    d = d.withColumn("_key", F.struct(F.col(col[doc_id]).alias("doc_id"), F.col(col[source]).alias("source"), F.col("_size").alias("size"))).drop("_size")
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(col[text]))))
+    d = d.join(plan, "_key").withColumn("_start", F.explode(F.get("_all", F.col("_i") - 1)))
+    return d.orderBy("_start.slot", col[source], "_start.at").select(*col.values()).toDF(*names)
