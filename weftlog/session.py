@@ -40,10 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once, into the shared folder; what follows survives lost executors."""
+def settle(df: DataFrame, compact: bool = False) -> DataFrame:
+    """Compute once, into the shared folder; what follows survives lost executors.
+
+    `compact` is for narrow rows made from a scan of wide ones: they go into few files of a good size instead of
+    one small file for each task of the scan.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if compact else df).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
