@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weftlog.plans import catalogue
@@ -14,7 +15,7 @@ SLOW = {"json_pointer_get"}
 
 
 def plain(rows):
-    return sorted(tuple("null" if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in r) for r in rows)
+    return sorted(tuple("null" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in r) for r in rows)
 
 
 @pytest.fixture(scope="module")
