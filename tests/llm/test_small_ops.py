@@ -80,10 +80,27 @@ def test_deal_is_longest_first():
     assert sorted(loads) == plain([s for s, n in classes for _ in range(n)], 7)
 
 
-def test_size_classes_keep_order(spark):
-    sizes = [0, 8, 16383, 16384, 16385, 20000, 32767, 32768, 10**6, 10**12]
-    got = [r.c for r in spark.createDataFrame([(s,) for s in sizes], "s long").select("s", sharding.size_class(F.col("s")).alias("c")).orderBy("s").collect()]
-    assert got == sorted(got) and max(got) < sharding.MOST_CLASSES and len(set(got)) >= 8
+def test_sharding_is_longest_first(spark):
+    """All of assign() against the plain loop: sizes above and below, copies, ties."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["é" * rng.randrange(30_000) + str(i) for i in range(60)] + ["x" * rng.randrange(40) for _ in range(900)] + ["same text"] * 300 + [None] * 50
+    rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 7).collect()
+    totals = collections.Counter()
+    for t in texts:
+        totals[t] += len((t or "").encode()) + 8
+    loads = [0] * 7
+    for s in sorted(totals.values(), reverse=True):
+        loads[loads.index(min(loads))] += s
+    got = collections.Counter()
+    for r in rows:
+        got[r.shard] += r["size"]
+    assert sorted(got.values()) == sorted(loads)
+    of = collections.defaultdict(set)
+    for r in rows:
+        of[texts[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in of.values()) and len(rows) == len(texts)
 
 
 def test_mixing(spark, odd):
@@ -125,6 +142,46 @@ def test_mixed_corpus_follows_the_schedule(spark):
         assert all(abs(words[s] - seen * share[s] / sum(share.values())) < 80 for s in share)
 
 
+@pytest.mark.parametrize("slots", [7, 300, 5000])
+def test_mixing_word_by_word(spark, slots):
+    """Against a loop over slots; another schedule gives another mix."""
+    texts = ["w " * (i * 7 % 23) for i in range(90)] + [None]
+    docs = spark.createDataFrame([(i % 80, t, f"s{i % 4}" if i % 9 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, slots=slots).collect()
+    sources = sorted({r.source for r in rows if r.source}) + [None]
+    shares = [(no, next(r.target for r in rows if r.source == s)) for no, s in enumerate(sources)]
+    total = sum(r["size"] for r in rows)
+    block, used, last = mixing.blocks_of(total, slots)
+    assert (used - 1) * block + last == total and 0 < last <= block
+    turn = {r.doc_id: r.t for r in docs.select("doc_id", mixing.turn_of(F.col("doc_id")).alias("t")).collect()}
+
+    def plain(plan):
+        taken, first = collections.Counter(), {}
+        lines = {no: [d for d in sorted(((turn[r.doc_id], r.doc_id, r["size"], k) for k, r in enumerate(rows) if r.source == s)) for _ in range(d[2])] for no, s in enumerate(sources)}
+        at = collections.Counter()
+        for slot, no in sorted((r.slot, r.source_no) for r in plan.collect()):
+            k, at[no] = at[no], at[no] + 1
+            for w in range(k * block, k * block + (last if slot == used - 1 else block)):
+                if w < 3 * len(lines[no]):
+                    d = lines[no][w % len(lines[no])][3]
+                    taken[d] += 1
+                    first.setdefault(d, slot)
+        return taken, first
+
+    taken, first = plain(mixing.schedule(spark, shares, used))
+    assert [(r.taken, r.first_slot) for r in rows] == [(taken[k], first.get(k)) for k in range(len(rows))]
+    for no, s in enumerate(sources):
+        assert abs(sum(r.taken for r in rows if r.source == s) - shares[no][1]) <= 4 * block
+
+    def turns(session, given, n):
+        return mixing.ranked(session.range(n).select(F.col("id").alias("slot"), (F.col("id") % len(given)).cast("int").alias("source_no"), F.lit(0).alias("_stretch")))
+
+    other = mixing.mix(docs, slots=slots, plan=turns).collect()
+    want, _ = plain(turns(spark, shares, used))
+    key = lambda r: (r.source or "~", turn[r.doc_id], r.doc_id, r["size"])
+    assert [r.taken for r in sorted(other, key=key)] == [want[k] for k, r in sorted(enumerate(rows), key=lambda x: key(x[1]))] != [r.taken for r in sorted(rows, key=key)]
+
+
 def test_targets_and_schedule(spark):
     t = mixing.targets({"a": 10, "b": 10, "c": 1000}, {"a": 1, "b": 2, "c": 1})
     assert t == {"a": 30.0, "b": 30.0, "c": 960.0}

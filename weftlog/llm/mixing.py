@@ -62,57 +62,64 @@ def ranked(point: DataFrame) -> DataFrame:
     return point.join(counts, ["source_no", "_stretch"]).select("slot", "source_no", (F.col("_from") + F.row_number().over(inner) - 1).cast("long").alias("rank"))
 
 
-def mix(docs: DataFrame, slots: int = SLOTS, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def blocks_of(total: int, slots: int) -> tuple[int, int, int]:
+    """(words of a block, number of slots, words of the last slot) for a mix of `total` words in about `slots` slots."""
+    block = max(1, round(total / slots))
+    used = -(-total // block)
+    return block, used, total - (used - 1) * block
+
+
+def mix(docs: DataFrame, slots: int = SLOTS, text: str = "text", source: str = "source", doc_id: str = "doc_id", plan=schedule) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
     Sources in code-point order (null last) weigh 1, 2, 3, repeating. Each source's documents, in a
-    seeded shuffle, form one stretch of words cut into blocks of equal tokens; the schedule's
-    k-th slot of a source takes its k-th block, beginning again after the last. A source stops
-    at its target; what rounding of the schedule leaves of a target comes in further blocks at
-    the end. A document takes the words that the blocks of its source's slots have of it: whole a number
-    of times, and once more or in part if the last pass reaches it.
-
-    Returns doc_id, source, size (words), source_size, target, taken, passes, starts (for each time that the document
-    is taken its place in the source's passes and the slot of the block in which it begins). Documents without words take
-    none. A null text has no words; an empty table gives no rows. Only the sources' totals
-    (one row a source) come to the driver. Same input, same result.
+    seeded shuffle, form one stretch of words cut into blocks of equal tokens, which begins anew after its end, at
+    most MOST_REPEATS times in all. `plan` gives the slots of the mix to the sources; a source's k-th slot takes
+    its k-th block. What a document gives is the sum over the blocks that have met a slot: so the sources' words are
+    what the schedule makes them, which is within a few blocks of the targets (a block is a `slots`-th of all words, or one word).
+
+    Returns doc_id, source, size (words), source_size, target, taken, starts (for each time that the document
+    is taken its place in the source's passes and the slot of the block in which it begins), first_slot (null if none is taken).
+    Documents without words take none. A null text has no words; an empty table gives no rows. Rows that repeat a
+    doc_id are documents of their own; other columns are not read. Only the sources' totals
+    (one row a source) come to the driver, and the schedule (about `slots` rows) is broadcast. Same input, same result.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    d = settle(d)
+    d = settle(d, compact=True)
     spark = docs.sparkSession
     sums = {r["source"]: (r["s"], r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     names = sorted((k for k in sums if k is not None), key=lambda k: k.encode()) + [k for k in sums if k is None]
     no = {k: i for i, k in enumerate(names)}
     goal = targets({k: sums[k][0] for k in names}, {k: CYCLE[no[k] % len(CYCLE)] for k in names})
     total = sum(s for s, _ in sums.values())
-    quota = {k: min(round(goal[k]), MOST_REPEATS * sums[k][0]) for k in names}
-    block = max(1, -(-total // slots))  # words of a block
-    info = spark.createDataFrame([(no[k], k, sums[k][0], goal[k], quota[k]) for k in names], "_no int, _source string, source_size long, target double, _took long")
+    info = spark.createDataFrame([(no[k], k, sums[k][0], goal[k]) for k in names], "_no int, _source string, source_size long, target double")
     d = d.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = sum(n for _, n in sums.values())
-    d = running(d, ["_no"], turn_of(F.col("doc_id")), ["doc_id", "size"], bits_for(rows), value="size", name="_at")
-    d = settle(d.withColumn("passes", F.floor(F.col("_took") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")))
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    idle = d.where("size = 0 or _at >= _took").select(*columns, F.lit(0).cast("long").alias("taken"), "passes", F.expr("cast(array() as array<struct<at: bigint, slot: bigint>>)").alias("starts"))
+    nothing = [F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<at: bigint, slot: bigint>>)").alias("starts"), F.lit(None).cast("long").alias("first_slot")]
     if not total:
-        return idle
-    # each time that a document comes up, from word _from to _to of its source's passes, and the blocks that hold it
-    again = F.floor((F.col("_took") - 1 - F.col("_at")) / F.col("source_size")).cast("long")
-    d = d.where("size > 0 and _at < _took").withColumn("_from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), again), lambda p: F.col("_at") + p * F.col("source_size"))))
-    d = d.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_took")))
-    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long"))))
-    words = F.least(F.col("_to"), (F.col("rank") + 1) * block) - F.greatest(F.col("_from"), F.col("rank") * block)
-    # the block meets its slot; those after a source's last slot come at the end
-    sched = settle(schedule(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], slots))
+        return d.select(*columns, *nothing)
+    block, used, last = blocks_of(total, slots)
+    sched = settle(plan(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], used).withColumn("words", F.when(F.col("slot") == used - 1, last).otherwise(block).cast("long")))
     held = sched.groupBy("source_no").agg(F.count("*").alias("_held"))
+    rows = sum(n for _, n in sums.values())
+    d = running(d, ["_no"], turn_of(F.col("doc_id")), ["doc_id", "size"], bits_for(rows), value="size", name="_at")
+    d = settle(d.join(F.broadcast(held), F.col("_no") == F.col("source_no"), "left").drop("source_no"))
+    # as far as the source's slots reach, each time that a document comes up: from word _from to _to of the passes, and the blocks that hold it
+    reach = F.least(F.coalesce("_held", F.lit(0)) * block, MOST_REPEATS * F.col("source_size"))
+    d = d.withColumn("_reach", reach)
+    idle = d.where("size = 0 or _at >= _reach").select(*columns, *nothing)
+    again = F.floor((F.col("_reach") - 1 - F.col("_at")) / F.col("source_size")).cast("long")
+    d = d.where("size > 0 and _at < _reach").withColumn("_from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), again), lambda p: F.col("_at") + p * F.col("source_size"))))
+    d = d.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_reach")))
+    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long"))))
+    # the block meets its slot
     key = (F.col("source_no").cast("long") * F.lit(1 << 32) + F.col("rank")).alias("_block")
-    d = d.withColumn("_block", F.col("_no").cast("long") * F.lit(1 << 32) + F.col("rank")).join(F.broadcast(sched.select(key, "slot")), "_block", "left")
-    d = d.join(F.broadcast(held), F.col("_no") == F.col("source_no"), "left")
-    slot = F.coalesce("slot", slots + F.col("rank") - F.coalesce("_held", F.lit(0)))
-    begins = F.when(F.col("rank") == F.floor(F.col("_from") / block), F.struct(F.col("_from").alias("at"), slot.alias("slot")))
+    d = d.withColumn("_block", F.col("_no").cast("long") * F.lit(1 << 32) + F.col("rank")).join(F.broadcast(sched.select(key, "slot", "words")), "_block")
+    words = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("rank") * block + F.col("words")) - F.greatest(F.col("_from"), F.col("rank") * block))
+    begins = F.when((F.col("rank") == F.floor(F.col("_from") / block)) & (words > 0), F.struct(F.col("_from").alias("at"), F.col("slot").alias("slot")))
     # a document is its place in its source, as ids may repeat
     firsts = [F.first(c).alias(c) for c in columns]
-    d = d.groupBy("_no", "_at").agg(*firsts, F.sum(words).cast("long").alias("taken"), F.first("passes").alias("passes"), F.sort_array(F.collect_list(begins)).alias("starts"))
+    d = d.groupBy("_no", "_at").agg(*firsts, F.sum(words).cast("long").alias("taken"), F.sort_array(F.collect_list(begins)).alias("starts"), F.min(F.when(words > 0, F.col("slot"))).alias("first_slot"))
     return idle.unionByName(d.drop("_no", "_at"))
 
 
