@@ -352,15 +352,58 @@ def test_recall_of_long_items():
         assert i in got
 
 
+@pytest.mark.parametrize("letters", [b"abcdefghij klmnop", b"etaoinshrdlu etaoin  shr"])
+def test_recall_at_the_limit(letters):
+    """Of passages with as many random edits as are allowed, at least 98 of 100 at every length; without edits all."""
+    import random
+
+    rng = random.Random(12)
+    for n in (32, 40, 63, 64, 95, 96, 159, 160, 390, 1000, 4000):
+        most = 12 if n < 1000 else 3
+        items = [decontaminate.normal(b"a" + bytes(rng.choice(letters) for _ in range(n + 20)))[:n].rstrip() + b"z" for _ in range(most)]
+        box = decontaminate.Items(list(range(most)), items)
+        trials = 20 if n < 1000 else 8
+        found = held = 0
+        for i in range(most):
+            texts = [b"tuv wxyz " * rng.randrange(20) + edited(rng, items[i], int(box.edits[i])) + b" zyx" * 30 for _ in range(trials)]
+            # an edit beside a space may take the space with it
+            texts = [t for t in texts if decontaminate.distance(items[i], decontaminate.normal(t), int(box.edits[i])) <= box.edits[i]]
+            held += len(texts)
+            found += sum(i in got for got in decontaminate.find(box, texts))
+            assert decontaminate.find(box, [b"uvw, " + items[i].upper()])[0][i] == 0
+        assert found >= 0.98 * held > 0.8 * most * trials, (n, found, held)
+
+
+def test_items_of_all_lengths():
+    """Short items whole and verbatim only; one very long item and a very long text; repeated items."""
+    long = b" ".join(b"w%d" % (i * 7919 % 10007) for i in range(4000))
+    texts = [b"What is the capital of France", b"yes it is", b"q", "é ü".encode(), b"yes it is", long]
+    box = decontaminate.Items(list(range(6)), [decontaminate.normal(t) for t in texts])
+    assert sum(x.nbytes for tables in box.tables for t in tables for x in t) < 60 * len(long) + (1 << 26)
+    docs = ["So: WHAT is the capital of France?", "what is the capitals of france", "oh yes, it is! é-ü", "yes it", "Q", "aq qa", None, "", "x " * 500_000 + long.decode().replace("w5000 ", "") + " y" * 300_000]
+    got = decontaminate.find(box, [None if d is None else d.encode() for d in docs])
+    assert got[:8] == [{0: 0}, {}, {1: 0, 4: 0, 3: 0}, {}, {2: 0}, {}, {}, {}] and set(got[8]) == {5} and got[8][5] == 6
+    assert decontaminate.find(decontaminate.Items([], []), [b"any text"]) == [{}]
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog, twice; then it sleeps."), (2, None), (None, "x" * 99), (3, "short"), (4, "The quick brown fox jumps over the lazy dog, twice; then it sleeps.")], "item_id long, text string")
     texts = ["a THE quick  brown fox jumped over the lazy dog - twice; then it sleeps. b", "the quick brown fox", *ODD]
     got = {r.doc_id: (r.kept, r.item_ids, r.edits) for r in decontaminate.report(frame(spark, texts), items).collect()}
     assert got[0] == (False, [1, 4], [2, 2]) and all(got[i][0] for i in range(1, len(texts)))
     kept = decontaminate.clean(frame(spark, texts), items)
+    # items in several passes
+    whole, decontaminate.PASS_BYTES = decontaminate.PASS_BYTES, 64
+    try:
+        many = {r.doc_id: (r.kept, r.item_ids, r.edits) for r in decontaminate.report(frame(spark, texts), items).collect()}
+    finally:
+        decontaminate.PASS_BYTES = whole
+    assert many == got
     assert kept.count() == len(texts) - 1 and kept.columns == odd.columns
     assert decontaminate.clean(frame(spark, texts), items.limit(0)).count() == len(texts)
     assert decontaminate.report(odd.limit(0), items).count() == 0
+    twice = frame(spark, texts[:2]).union(frame(spark, texts[:2]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted((r.doc_id is None, r.n_items) for r in decontaminate.report(twice, items).collect()) == [(False, 0), (False, 2), (True, 0), (True, 2)]
 
 
 def held(docs, mod, left):
