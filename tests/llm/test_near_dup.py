@@ -40,10 +40,10 @@ def groups(texts, percent):
     return {i: (find(i), len(s)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("longest", "block"), [(64, 256), (6, 25)])
-def test_groups(spark, monkeypatch, longest, block):
+@pytest.mark.parametrize(("longest", "stretch"), [(64, 256), (6, 5)])
+def test_groups(spark, monkeypatch, longest, stretch):
     monkeypatch.setattr(near_dup, "LIST", longest)
-    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "STRETCH", stretch)
     texts = corpus()
     rows = [(i, t, "r", 1) for i, t in enumerate(texts)]
     random.Random(1).shuffle(rows)
@@ -64,6 +64,63 @@ def test_empty(spark):
     assert sorted(map(tuple, near_dup.group(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
 
 
+def test_repeated_ids(spark):
+    """Rows of one id with different texts, rows that repeat id and text, and rows without an id."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(80)) for x in "abc")
+    near = [t + " tail" for t in (a, b, c)]
+    rows = [(5, a), (5, b), (5, b), (7, near[0]), (8, near[1]), (8, near[1]), (None, c), (None, near[2]), (None, a), (9, "x y"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.group(df).collect() if r.doc_id is not None)
+    assert got == [(False, 5, 76, 5, True)] * 3 + [(False, 7, 77, 5, False)] + [(False, 8, 77, 5, False)] * 2 + [(False, 9, 0, 9, True), (False, 9, 1, 9, True)]
+    none = sorted((r.component_id is None, r.component_id, r.kept) for r in near_dup.group(df).collect() if r.doc_id is None)
+    assert none == [(False, 5, False), (True, None, True), (True, None, True)]
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = list(words)
+    for _ in range(2000):
+        other[rng.randrange(len(other))] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[::-1])), (4, " ".join(words[:100_000]))]
+    got = {r.doc_id: r.component_id for r in near_dup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_prefixes_leave_shared_passages_out(spark):
+    """Documents that share most of their words, but not enough, make rows by their number, and no pairs."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [passage + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(30)) for _ in range(400)]
+    made = []
+    for n in (100, 400):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "node long, text string")
+        rows = near_dup.prefix_rows(df, 85).cache()
+        known = df.select("node", df["node"].alias("component"))
+        assert near_dup.prefix_pairs(rows, known, 85).count() == 0
+        made.append(rows.count())
+    assert made[1] == 4 * made[0] and made[0] <= 16 * 100
+    # and similar ones are all met, whatever the order of the shingles
+    base = [f"b{i}" for i in range(120)]
+    variants = []
+    for _ in range(40):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        variants.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(variants + texts[:40])), "node long, text string")
+    known = df.select("node", df["node"].alias("component"))
+    pairs = {(r.a, r.b) for r in near_dup.prefix_pairs(near_dup.prefix_rows(df, 85), known, 85).collect()}
+    sets = [near_dup.shingle_set(t.split()) for t in variants]
+    for i in range(40):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] != sets[j] and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                assert (j, i) in pairs
+    assert all(b < 40 for _, b in pairs)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -76,11 +76,6 @@ def mark_ids(df: DataFrame, key: str, ids: DataFrame, other: str, name: str) ->
     return out.withColumn(name, F.expr("coalesce((_bits & shiftleft(1L, int(_own & 63))) <> 0, false)")).drop("_own", "_word", "_bits")
 
 
-def with_ids(df: DataFrame, key: str, ids: DataFrame, other: str) -> DataFrame:
-    """Rows whose key is among `ids` (distinct, settled); only rows that may be are shuffled."""
-    return mark_ids(df, key, ids, other, "_maybe").where("_maybe").drop("_maybe").join(ids.select(F.col(other).alias("_other")), F.col(key) == F.col("_other"), "left_semi")
-
-
 def without_ids(df: DataFrame, key: str, ids: DataFrame, other: str) -> DataFrame:
     """Rows whose key is not among `ids` (settled); only rows that may be are shuffled."""
     marked = mark_ids(df, key, ids, other, "_maybe")
@@ -106,7 +101,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     was = mark(e)
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
         e = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: the smaller neighbours and the node itself go to the smallest of them

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlog.llm.common import components, map_texts, with_ids, without_ids
+from weftlog.llm.common import components, map_texts, mark_ids, pieces, without_ids
 from weftlog.llm.vector_text import LOWER, Words, mix, windows
 from weftlog.session import release, settle
 
@@ -20,12 +20,17 @@ KEEP = 32
 LEAST_SHARED = 0.5
 #: Bands of the first round: retained values by remainder, so many of the smallest of each.
 BANDS, BAND_ROWS = 8, 3
-#: Inverted lists longer than this make dense regions, compared in blocks of so many documents.
-LIST, BLOCK = 64, 256
+#: Inverted lists of at most so many documents are joined as they are; longer ones go by prefixes of the full sets.
+LIST = 64
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Counters of the table by which shingles of documents in long lists are ordered: what each task sends, and what is broadcast, at 4 bytes each.
+COUNTERS = 1 << 20
+#: Pairs of one document that one stretch of the verification takes, and pairs in an Arrow batch.
+STRETCH = 256
 
 
-def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: int = KEEP) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the word sequence; null without words), sketch (the `keep` smallest hashes, ascending)."""
+def sketches(docs: DataFrame, keep: list[str], text: str = "text", size: int = KEEP) -> DataFrame:
+    """`keep` columns, n_shingles, key (digest of the word sequence; null without words), sketch (the `size` smallest hashes, ascending)."""
 
     def make(texts: list) -> list:
         w = Words(texts, LOWER)
@@ -41,11 +46,11 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
             sh = shingles(h, every, a, b)
             sizes.append(len(sh))
             keys.append(hashlib.blake2b(b" ".join(data[w.first[i] : w.first[i + 1]].split()), digest_size=16).digest())
-            sketch.append(sh[:keep].view(np.int64))
+            sketch.append(sh[:size].view(np.int64))
         return [sizes, keys, sketch]
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", fields, make)
+    return map_texts(docs, keep, text, fields, make)
 
 
 def shingle_set(words: list) -> set:
@@ -57,66 +62,79 @@ def shingle_set(words: list) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), one row for each of `nodes` (node, doc_id, look; distinct and settled), settled. Other texts stay where they are."""
+    n = nodes.select("node", F.col("doc_id").alias("_id"), F.col("look").alias("_look"))
+    some = mark_ids(docs, "look", n, "_look", "_maybe").where("_maybe")
+    found = settle(some.join(n, (F.col("look") == F.col("_look")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"))
+    # rows that repeat both id and text come several times
+    return settle(found.dropDuplicates(["node"])) if found.count() > n.count() else found
 
-    The texts of documents in a pair are cut out first. They come in by two joins; each row then
-    holds its two texts, whatever a text's number of pairs.
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union, settled.
+
+    Pairs are dealt by their first document, STRETCH of them at a time: a stretch begins with that document's text, sent once,
+    and each of its rows holds one more. So a document with very many pairs is spread over tasks, and a task holds two texts' sets.
     """
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = settle(with_ids(texts, "doc_id", ids, "id"))
-    t = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    both = pairs.join(t, pairs["a"] == t["_id"]).select("a", "b", F.col("_text").alias("ta"))
-    t = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    both = both.join(t, both["b"] == t["_id"]).select("a", "b", "ta", F.col("_text").alias("tb"))
-    table = bytes(LOWER)
+    pairs = settle(pairs)
+    if texts is None:
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        texts = fetch(docs, settle(nodes.select("node", "doc_id", "look").join(ids, "node", "left_semi")))
+    t = texts.select(F.col("node").alias("_node"), "text")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("_many"))
+    dealt = pairs.join(many, "a").withColumn("_own", F.pmod(F.xxhash64("b", F.lit(3)), F.col("_many")).cast("int"))
+    heads = many.join(t, many["a"] == t["_node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_own"), F.lit(None).cast("long").alias("b"), "text")
+    rows = dealt.join(t, dealt["b"] == t["_node"]).select("a", "_own", "b", "text")
+    rows = heads.union(rows).repartition("a", "_own").sortWithinPartitions("a", "_own", F.col("b").asc_nulls_first())
 
     def run(batches):
         import pyarrow as pa
 
-        known: tuple = (None, None)
+        known = np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            a_ids = batch.column(0).to_pylist()
-            ta, tb = batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary())
-            for i, a in enumerate(a_ids):
-                if known[0] != a:
-                    known = (a, shingle_set(ta[i].as_py().translate(table).split()))
-                x, y = known[1], shingle_set(tb[i].as_py().translate(table).split())
-                inter = len(x & y)
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter) and inter > 0)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-
-
-def band_pairs(reps: DataFrame) -> DataFrame:
+            a, b, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary())
+            left, right = [], []
+            for i in range(len(a)):
+                (own,) = sets_of([texts[i].as_py()])
+                if b[i] is None:
+                    known = own
+                    continue
+                n = len(np.intersect1d(known, own, assume_unique=True))
+                if n and 100 * n >= percent * (len(known) + len(own) - n):
+                    left.append(a[i]), right.append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return settle(rows.mapInArrow(run, PAIRS))
+
+
+def band_pairs(nodes: DataFrame) -> DataFrame:
     """First round: a star of pairs around the smallest document of each band."""
     values = [F.slice(F.filter("sketch", lambda v, i=i: F.pmod(v, F.lit(BANDS)) == i), 1, BAND_ROWS) for i in range(BANDS)]
     keys = F.array(*[F.when(F.size(v) > 0, F.xxhash64(v, F.lit(i))) for i, v in enumerate(values)])
-    rows = settle(reps.select("rep", F.explode(F.array_compact(keys)).alias("band")))
-    first = rows.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = settle(nodes.select("node", F.explode(F.array_compact(keys)).alias("band")))
+    first = rows.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = settle(first)
-    return rows.join(first, "band").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    return rows.join(first, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
-def inverted_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (rep, component, n, sketch, head, v) of inverted lists of retained values, and the lists (v, len) worth reading.
+def inverted_lists(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, component, n, sketch, head, v) of inverted lists of retained values, and the lists (v, len) worth reading.
 
     Sketches of a pair that is similar enough share LEAST_SHARED of their values (a chance of about 5e-7 a pair at the
     threshold not to). So, with values in the order of their frequency, one of the first
     (1 - LEAST_SHARED) * size + 1 of each, its head, is common: only those are listed, the rare ones first, and passages
     that very many documents share list nothing. A list whose members are all of one component links nothing new and is dropped.
     """
-    values = settle(reps.select("rep", F.explode("sketch").alias("v")))
+    values = settle(nodes.select("node", F.explode("sketch").alias("v")))
     often = settle(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # values of one document alone come first in the order and link nothing: their number is the sketch's size less the others
-    shared = values.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
-    shared = shared.join(reps, "rep").withColumn("_room", F.size("sketch") - F.floor(F.size("sketch") * LEAST_SHARED) + 1 - (F.size("sketch") - F.size("s")))
+    shared = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
+    shared = shared.join(nodes, "node").withColumn("_room", F.size("sketch") - F.floor(F.size("sketch") * LEAST_SHARED) + 1 - (F.size("sketch") - F.size("s")))
     shared = shared.where("_room > 0").withColumn("head", F.slice(F.col("s.v"), F.lit(1), F.greatest(F.lit(0), F.least(F.col("_room").cast("int"), F.size("s")))))
-    shared = settle(shared.select("rep", "component", "n", "sketch", "head", F.explode("head").alias("v")))
-    lists = shared.groupBy("v").agg(F.count("*").alias("len"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("rep").alias("first")).where("c1 < c2")
-    return shared, settle(lists.select("v", "len", "first"))
+    shared = settle(shared.select("node", "component", "n", "sketch", "head", F.explode("head").alias("v")))
+    lists = shared.groupBy("v").agg(F.count("*").alias("len"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    return shared, settle(lists.select("v", "len"))
 
 
 def list_pairs(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -126,39 +144,111 @@ def list_pairs(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     similarity: a pair goes on if the estimate is within reach of the threshold.
     """
     rows = shared.join(lists.where(F.col("len") <= LIST).select("v"), "v")
-    left, right = (rows.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "sketch", "head")]) for x in "ab")
-    near = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    left, right = (rows.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "sketch", "head")]) for x in "ab")
+    near = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     first = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("v")
-    return left.join(right, "v").where(near & first & estimate(percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return left.join(right, "v").where(near & first & estimate(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def prefix_rows(texts: DataFrame, percent: int) -> DataFrame:
+    """(s, node, n, pos): of each document's full set, the rarest shingles that a similar one must share one of, with their places.
+
+    Shingles are ordered by how often all these documents have them, the rare ones first: any order serves, this one keeps
+    what many share out of the prefixes. The frequencies are those of COUNTERS counters that shingles are hashed to:
+    every task sends one table of them, and they are summed by stretches.
+    """
 
+    def count(batches):
+        import pyarrow as pa
 
-def region_pairs(shared: DataFrame, lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Third round: links across components within dense regions, the documents that long lists join.
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            column = batch.column(1)
+            for lo, hi in pieces(column):
+                for own in sets_of(column.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()):
+                    np.add.at(table, counter(own), 1)
+        for k in range(0, COUNTERS, 4096):
+            if table[k : k + 4096].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([table[k : k + 4096].astype(np.int32).tobytes()], pa.binary())], names=["k", "part"])
+
+    def add(batches):
+        import pyarrow as pa
 
-    A region is compared block by block on the full sets. A task holds two blocks of BLOCK documents, and passes on a
-    pair only if it is a link between parts that it did not know to be one: at most as many pairs as documents.
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(part.as_buffer(), np.int32).astype(np.int64)
+        parts = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(parts, pa.binary())], names=["k", "part"])
+
+    parts = T.StructType([T.StructField("k", T.LongType()), T.StructField("part", T.BinaryType())])
+    often = np.zeros(COUNTERS, np.int32)
+    for r in texts.select("node", "text").mapInArrow(count, parts).repartition("k").mapInArrow(add, parts).collect():
+        often[r["k"] : r["k"] + 4096] = np.frombuffer(r["part"], np.int32)
+    box = texts.sparkSession.sparkContext.broadcast(often)
+
+    def make(batch_texts: list) -> list:
+        out: list[list] = [[], []]
+        for own in sets_of(batch_texts):
+            n = len(own)
+            most = n - -(-percent * n // 100) + 1  # of a partner that is smaller by as much as may be
+            times = box.value[counter(own)]
+            if most < n:
+                some = np.argpartition(times, most)
+                some = np.flatnonzero(times <= times[some[:most]].max())
+            else:
+                some = np.arange(n)
+            # by frequency, then by hash: the same order for all documents
+            some = some[np.lexsort((own[some], times[some]))][:most]
+            out[0].append(n), out[1].append(own[some].view(np.int64))
+        return out
+
+    rows = map_texts(texts, ["node"], "text", [T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))], make)
+    return rows.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
+
+
+def counter(own: np.ndarray) -> np.ndarray:
+    return (mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def star_pairs(rows: DataFrame, known: DataFrame, pick) -> DataFrame:
+    """Pairs of each prefix shingle's first document (as `pick` says) with the others of other components: no more than rows."""
+    named = rows.join(known, "node")
+    first = named.groupBy("s").agg(pick(F.struct("node", "component")).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("s", "f")
+    return named.join(first, "s").where("component <> f.component").select(F.least("f.node", "node").alias("a"), F.greatest("f.node", "node").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components that can still be similar: prefix, length and positional filters of an exact set-similarity join.
+
+    The smaller of two similar sets x and y has a common shingle among the first |x| - need + 1 of its order, where
+    need = percent / (100 + percent) * (|x| + |y|) is the least intersection, and after that shingle as many must follow in both.
+    Documents whose common part is frequent have it behind their own shingles, beyond the prefix, and meet nobody.
     """
-    long = lists.where(F.col("len") > LIST).select("v", "first")
-    if long.isEmpty():
-        return shared.sparkSession.createDataFrame([], "a long, b long")
-    rows = shared.join(long, "v")
-    members = settle(rows.select("rep", "component", "first").distinct())
-    region = components(members.select("rep", "first"), "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("region"))
-    members = settle(members.select("rep", "component").distinct().join(region, "rep"))
-    sets = map_texts(with_ids(texts, "doc_id", members.select("rep"), "rep"), ["doc_id"], "text", [T.StructField("set", T.ArrayType(T.LongType()))], full_sets)
-    blocks = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    full = members.join(settle(sets), F.col("rep") == F.col("doc_id")).join(settle(blocks), "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    full = full.select("rep", "component", "set", "own", "region", F.explode(meets).alias("m")).select("rep", "component", "set", "own", "region", "m.i", "m.j")
-    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return full.groupBy("region", "i", "j").applyInArrow(lambda rows: links_within(rows, percent), out)
-
-
-def full_sets(texts: list) -> list:
+    named = rows.join(known, "node")
+    mixed = named.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("s")
+    named = named.join(mixed, "s")
+    x, y = (named.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "pos")]) for k in "xy")
+    x = x.where((100 + percent) * (F.col("n_x") - F.col("pos_x")) >= 2 * percent * F.col("n_x"))
+    need = percent * (F.col("n_x") + F.col("n_y"))
+    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    reach = ((100 + percent) * (F.col("n_x") - F.col("pos_x")) >= need) & ((100 + percent) * (F.col("n_y") - F.col("pos_y")) >= need)
+    near = x.join(y, "s").where((F.col("component_x") != F.col("component_y")) & order & (100 * F.col("n_x") >= percent * F.col("n_y")) & reach)
+    return near.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def named_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes, settled."""
+    known = components(links, "a", "b").withColumnRenamed("node", "_node")
+    return settle(nodes.join(known, nodes["node"] == known["_node"], "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def sets_of(texts: list) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
     w = Words(texts, LOWER)
-    every = windows(w.hashes(), SHINGLE)
     h = w.hashes()
-    return [[shingles(h, every, w.bounds[i], w.bounds[i + 1]).view(np.int64) for i in range(len(texts))]]
+    every = windows(h, SHINGLE)
+    return [shingles(h, every, w.bounds[i], w.bounds[i + 1]) for i in range(len(texts))]
 
 
 def shingles(h: np.ndarray, every: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -170,47 +260,6 @@ def shingles(h: np.ndarray, every: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.unique(every[a : b - SHINGLE + 1])
 
 
-def links_within(rows, percent: int):
-    """Links of a block pair, from full sets as bits of whole numbers; pairs of a part that is one already are skipped."""
-    import pyarrow as pa
-
-    reps, parts, own = rows["rep"].to_pylist(), rows["component"].to_pylist(), rows["own"].to_pylist()
-    sets = rows["set"].combine_chunks()
-    flat, ends = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))))
-    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.cumsum(times > 1) - 1
-    common = times[place] > 1
-    width = int(rank[-1]) + 1 if len(rank) else 0
-    bits, sizes = [], np.diff(ends)
-    for k in range(len(reps)):
-        flags = np.zeros(width, bool)
-        at = slice(ends[k], ends[k + 1])
-        flags[rank[place[at][common[at]]]] = True
-        bits.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
-    root = {p: p for p in parts}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    order = sorted(range(len(reps)), key=lambda k: (sizes[k], reps[k]))
-    across = len(set(own)) > 1  # within one block in the group of the block with itself only
-    a, b = [], []
-    for p, k in enumerate(order):
-        for q in order[p + 1 :]:
-            if 100 * int(sizes[k]) < percent * int(sizes[q]):
-                break
-            if across and own[k] == own[q] or (x := find(parts[k])) == (y := find(parts[q])):
-                continue
-            n = (bits[k] & bits[q]).bit_count()
-            if 100 * n >= percent * (int(sizes[k]) + int(sizes[q]) - n):
-                root[max(x, y)] = min(x, y)
-                a.append(min(reps[k], reps[q])), b.append(max(reps[k], reps[q]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
 def estimate(percent: int):
     """Whether the union sketch leaves the similarity within reach: the common part of the smallest values of both."""
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, KEEP)
@@ -224,33 +273,41 @@ def group(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str =
 
     Words: A-Z lower-cased, split at ASCII white space. A document with fewer than five words
     has its whole sequence as its one shingle; one without words, or with a null text, has an empty set
-    and is linked with nothing. Documents of one word sequence are one class, held by its
-    smallest doc_id; links are sought between classes and confirmed on the full sets.
+    and is linked with nothing. Documents of one word sequence are one class and one node of the search, whatever their
+    ids; links are sought between classes and confirmed on the full sets.
 
     Returns one row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id
-    reachable), kept (doc_id = component_id). Rows that repeat a doc_id have equal ids and
-    are all kept or all not; if their texts differ, each is linked by its own text. Other columns are not read.
+    reachable), kept (doc_id = component_id). Rows that repeat a doc_id with different texts are linked each by its own
+    text; a null doc_id is never the smallest, and its row's component_id is null and kept is true if it reaches no other id.
+    Very long texts are one set each. An empty table gives no rows. Other columns are not read.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sk = settle(sketches(d))
-    some = sk.where("n_shingles > 0")
-    reps = settle(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("n_shingles", "doc_id").alias("n")))
-    one = reps.groupBy("rep").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))  # ids of several texts
+    spark = docs.sparkSession
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("look", F.xxhash64("doc_id", "text"))
+    sk = settle(sketches(d, ["doc_id", "look"]), compact=True)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "look")
+    nodes = sk.where("n_shingles > 0").groupBy("key").agg(F.min(own).alias("o"), F.min_by("sketch", own).alias("sketch"), F.min("n_shingles").alias("n"))
+    nodes = settle(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "o.doc_id", "o.look", "sketch", "n"))
     texts = d.where("text is not null")
-    found = settle(confirm(settle(band_pairs(one)), texts, percent))
-    known = settle(components(found, "a", "b"))
-    release(docs.sparkSession)
-    now = one.join(known, one["rep"] == known["node"], "left").select("rep", "sketch", "n", F.coalesce("component", "rep").alias("component"))
-    shared, lists = inverted_lists(settle(now))
-    pairs = list_pairs(shared, lists, percent).union(region_pairs(shared, lists, texts, percent))
-    pairs = settle(pairs.distinct())
-    release(docs.sparkSession)
-    more = settle(confirm(pairs, texts, percent))
-    release(docs.sparkSession)
-    final = settle(components(found.union(more), "a", "b"))
-    named = settle(reps.join(final, reps["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id")))
+    found = confirm(band_pairs(nodes), nodes, texts, percent)
+    known = named_nodes(nodes, found)
+    release(spark)
+    shared, lists = inverted_lists(nodes.select("node", "sketch", "n").join(known, "node"))
+    found = settle(found.union(confirm(list_pairs(shared, lists, percent), nodes, texts, percent)))
+    long = settle(shared.join(lists.where(F.col("len") > LIST).select("v"), "v", "left_semi").select("node").distinct())
+    release(spark)
+    if not long.isEmpty():
+        members = fetch(texts, settle(nodes.select("node", "doc_id", "look").join(long, "node", "left_semi")))
+        rows = settle(prefix_rows(members, percent))
+        for pairs in (lambda k: star_pairs(rows, k, F.min), lambda k: star_pairs(rows, k, F.max), lambda k: prefix_pairs(rows, k, percent)):
+            known = named_nodes(nodes.select("node"), found)
+            found = settle(found.union(confirm(pairs(known), nodes, texts, percent, members)))
+            release(spark)
+    known = named_nodes(nodes.select("node"), found)
+    named = nodes.select("node", "key", "doc_id").join(known, "node")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = settle(named.join(least, "component").select("key", "component_id"))
     out = sk.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
