@@ -283,11 +283,53 @@ def test_license_over_lines(spark):
         assert label in got[i].labels.split(",") and got[i].score == 1.0 and got[i].n_blocks == 1, i
     n = len(sentences)
     assert (got[n].labels, got[n].n_blocks) == ("bsd-3,mpl-2", 2)
-    assert "cc-by" not in got[n + 1].labels.split(",")
+    # every template that a block meets gives its label; main_label tells the one with most in common
+    assert {"cc-by", "cc-by-sa"} <= set(got[n + 1].labels.split(",")) and got[n + 1].main_label == "cc-by-sa"
     assert (got[n + 2].labels, got[n + 2].n_blocks) == ("bsd-3", 2)
     assert (got[n + 3].labels, got[n + 3].n_blocks, got[n + 3].score) == ("", 0, 0.0)
 
 
+def test_license_blocks_word_by_word(spark):
+    """Every block of every template, looked at one by one; notices in many places, repeated, cut and mixed; a very long text."""
+    import random
+
+    rng = random.Random(13)
+    templates = [(f"l{i}", " ".join(rng.choice("a b c d e f g h i j k l m n o p".split()) for _ in range(rng.randrange(4, 14)))) for i in range(12)]
+    texts = []
+    for _ in range(150):
+        t = [rng.choice("a b c d e f g h i j k l m n o p q r s t u v w x y z".split()) for _ in range(rng.randrange(60))]
+        if rng.random() < 0.7:
+            own = rng.choice(templates)[1].split()
+            del own[rng.randrange(len(own))]
+            own.insert(rng.randrange(len(own)), "zz")
+            t[len(t) // 2 : len(t) // 2] = own
+        texts.append(" ".join(t))
+    texts += [" ".join(["q r s"] * 100_000 + [templates[0][1]] + ["t"] * 100_000), None, ""]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts), templates).collect()}
+    for i, t in enumerate(texts):
+        words, want, best = (t or "").split(), set(), 0.0
+        for label, sentence in templates if i < 150 else ():
+            own = set(sentence.split())
+            n = -(-len(sentence.split()) * 10 // 8)
+            held = max((len(own & set(words[k : k + n])) for k in range(len(words))), default=0)
+            if held >= 0.8 * len(own) - 1e-9:
+                want.add(label)
+                best = max(best, held / len(own))
+        if i < 150:
+            assert (got[i].labels, got[i].score) == (",".join(sorted(want)), best)
+            for x in got[i].spans:
+                own = set(dict(templates)[x.label].split())
+                assert len(own & set(words[x.first : x.last + 1])) == round(x.containment * len(own)) and words[x.first] in own and words[x.last] in own
+    assert "l0" in got[150].labels.split(",") and got[151].labels == got[152].labels == ""
+
+
+def test_places_are_counted_once():
+    words = ["cc by nc", "x", "cc by nc"] * 20_000
+    joined = (" " + " ".join(words) + " ").encode()
+    flat = " ".join(words).split()
+    assert license_scan.places_of(joined, b" cc by nc ") == [i for i, w in enumerate(flat) if w == "cc"]
+
+
 def test_edit_distance_and_recall():
     import random
 

@@ -80,7 +80,7 @@ class Walks:
                     if sampled[step]:
                         out += salt[step][symbol]
                     at += moves[step][symbol]
-                own.append((at, out))
+                own.append(out << np.uint64(2) | at.astype(np.uint64))
             self.leaps.append(own)
 
     @staticmethod
@@ -93,10 +93,11 @@ class Walks:
     def buckets(self, codes: np.ndarray, at: np.ndarray, walk: int, steps: int, since: int = 0, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each window after `steps` steps, and where the walk is then; it goes on from `since` steps and their outcome."""
         out = np.zeros(len(at), np.uint64) if out is None else out
-        for move, salt in self.leaps[walk][since // LEAP : steps // LEAP]:
-            c = codes.take(at, mode="clip")  # no place is beyond the end: this is the faster way
-            out = out + salt.take(c, mode="clip")
-            at = at + move.take(c, mode="clip")
+        for leap in self.leaps[walk][since // LEAP : steps // LEAP]:
+            made = leap.take(codes.take(at, mode="clip"), mode="clip")  # no place is beyond the end: this is the faster way
+            at = at + (made & np.uint64(3)).view(np.int64)
+            made >>= np.uint64(2)
+            out = out + made
         return out, at
 
 
@@ -131,30 +132,40 @@ class Items:
         at, item = at[self.lengths[item] >= SHORT], item[self.lengths[item] >= SHORT]
         codes = self.walks.codes(data)
         kind = np.searchsorted([least for least, _ in CLASSES], self.lengths[item], "right") - 1
-        #: of each walk: known beginnings, and for each class the buckets in order with item and place
+        #: of each walk: known beginnings, and for each class the buckets in order with item and place, and the windows of longer classes after as many steps
         self.known, self.tables = [], []
         for k in range(WALKS):
             self.known.append(self.marked(self.walks.buckets(codes, at, k, FIRST)[0]))
             own = []
             for c, (_, steps) in enumerate(CLASSES):
+                onward = self.marked(self.walks.buckets(codes, at[kind > c], k, steps)[0])
                 some = np.flatnonzero(kind == c)
                 bucket, end = self.walks.buckets(codes, at[some], k, steps)
                 inside = end <= first[item[some]] + self.lengths[item[some]]
                 order = np.argsort(bucket[inside], kind="stable")
-                some = some[inside][order]
-                bucket = bucket[inside][order]
-                own.append((bucket, self.marked(bucket), item[some].astype(np.int32), (at - first[item])[some].astype(np.int32)))
+                some, bucket = some[inside][order], bucket[inside][order]
+                own.append((bucket, self.marked(bucket), item[some].astype(np.int32), (at - first[item])[some].astype(np.int32), onward))
             self.tables.append(own)
 
+    def __getstate__(self) -> tuple:
+        return self.ids, self.texts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)  # what can be made from the texts is not sent
+
     @staticmethod
-    def slot(code: np.ndarray) -> np.ndarray:
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+    def slot(code: np.ndarray, size: int) -> np.ndarray:
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).view(np.int64)
 
     def marked(self, bucket: np.ndarray) -> np.ndarray:
-        known = np.zeros(1 << 20, bool)
-        known[self.slot(bucket)] = True
+        """One flag a slot that buckets are hashed to, of which few are set."""
+        known = np.zeros(1 << min(22, max(12, (32 * len(bucket)).bit_length())), bool)
+        known[self.slot(bucket, len(known))] = True
         return known
 
+    def held(self, known: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(known.take(self.slot(bucket, len(known)), mode="clip"))
+
     def gram_set(self, i: int) -> frozenset:
         if i not in self.grams:
             t = self.texts[i]
@@ -169,12 +180,12 @@ class Items:
             for lo in range(0, len(at), STEP):
                 begin = at[lo : lo + STEP]
                 got, here = self.walks.buckets(codes, begin, k, FIRST)
-                some = np.flatnonzero(self.known[k].take(self.slot(got), mode="clip"))
-                begin, got, here, done = begin[some], got[some], here[some], FIRST
-                for (bucket, known, item, off), (_, steps) in zip(tables, CLASSES, strict=True):
-                    got, here = self.walks.buckets(codes, here, k, steps, done, got)
-                    done = steps
-                    own = np.flatnonzero(known.take(self.slot(got), mode="clip"))
+                go, done = self.held(self.known[k], got), FIRST
+                for (bucket, known, item, off, onward), (_, steps) in zip(tables, CLASSES, strict=True):
+                    begin = begin[go]
+                    got, here = self.walks.buckets(codes, here[go], k, steps, done, got[go])
+                    go, done = self.held(onward, got), steps
+                    own = self.held(known, got)
                     if not len(own):
                         continue
                     a, b = np.searchsorted(bucket, got[own], "left"), np.searchsorted(bucket, got[own], "right")

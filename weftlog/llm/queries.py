@@ -41,15 +41,43 @@ def op8_token_counts(spark, sf_dir):
 
 
 def op9_license_scan(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def license_sql(templates=license_scan.TEMPLATES, containment: float = license_scan.CONTAINMENT) -> str:
+    """The scan by plain windows: for each template, the most distinct words that any of its blocks holds."""
+    rows = []
+    for i, (label, sentence) in enumerate(templates):
+        t = license_scan.prepare([(label, sentence)], {}, containment)[0]
+        rows.append(f"({i}, '{label}', {t.need}, {t.size}, {t.length}, [{', '.join(repr(w.decode()) for w in t.rank)}])")
+    phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in license_scan.PHRASES)
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+x AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS i FROM w),
+g AS (SELECT r, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c, lead(a, 3) OVER p AS d FROM x WINDOW p AS (PARTITION BY r ORDER BY i)),
+ph AS (SELECT * FROM (VALUES {phrases}) v(label, p)),
+base AS (SELECT r, i, label FROM g JOIN ph ON a = p[1] AND b = p[2] AND c = p[3] AND (len(p) = 3 OR d = p[4])),
+t AS (SELECT * FROM (VALUES {', '.join(rows)}) v(t, label, need, size, length, words)),
+e AS (SELECT DISTINCT x.r, x.i, x.a, t.t FROM (SELECT t, unnest(words) AS a FROM t) t JOIN x ON x.a = t.a),
+en AS (SELECT r, e.t FROM e JOIN t ON e.t = t.t GROUP BY r, e.t, need HAVING count(DISTINCT a) >= need),
+held AS (SELECT e.r, e.t, count(DISTINCT f.a) AS n FROM en JOIN e ON e.r = en.r AND e.t = en.t JOIN t ON t.t = e.t
+  JOIN e f ON f.r = e.r AND f.t = e.t AND f.i BETWEEN e.i AND e.i + t.length - 1 GROUP BY e.r, e.t, e.i),
+met AS (SELECT r, label, max(n::DOUBLE / size) AS c FROM held JOIN t ON held.t = t.t WHERE n >= need GROUP BY r, label),
+b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION SELECT r, label FROM base) GROUP BY r),
+m AS (SELECT r, max(c) AS c FROM met GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN b ON w.r = b.r LEFT JOIN l ON w.r = l.r LEFT JOIN m ON w.r = m.r"""
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_quality_model, op4_language_id, op5_near_dup, op6_quality_rules, op7_mixing, op8_token_counts, op9_license_scan, op10_decontaminate)}
 ORACLES: dict[str, str] = {
+    "op9_license_scan": license_sql(),
     "op6_quality_rules": r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
