@@ -40,14 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame, compact: bool = False) -> DataFrame:
+def settle(df: DataFrame, compact: bool = False, parts: int | None = None) -> DataFrame:
     """Compute once, into the shared folder; what follows survives lost executors.
 
     `compact` is for narrow rows made from a scan of wide ones: they go into few files of a good size instead of
-    one small file for each task of the scan.
+    one small file for each task of the scan. `parts`: into so many files at most, for rows that end in a light step.
     """
     shared_folder(df.sparkSession)
-    return (df.hint("rebalance") if compact else df).checkpoint(eager=True)
+    df = df.hint("rebalance") if compact else df
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
