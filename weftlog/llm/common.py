@@ -84,11 +84,11 @@ def without_ids(df: DataFrame, key: str, ids: DataFrame, other: str) -> DataFram
     return sure.unionByName(rest)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, parts: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without an edge are not listed.
 
     Alternates large-star and small-star steps until the edges stay as they are; each step
-    is cut off in the shared folder. The work of a step grows with the edges, the number of
+    is cut off in the shared folder, in at most `parts` files. The work of a step grows with the edges, the number of
     steps with the logarithm of the longest path. Joins run on freshly cut tables, so that
     adaptive execution can split the partition of a node with very many neighbours.
     """
@@ -97,16 +97,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         row = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    e = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), parts=parts)
     was = mark(e)
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
-        e = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        e = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), parts=parts)
         # small star: the smaller neighbours and the node itself go to the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = settle(e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct())
+        e = settle(e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct(), parts=parts)
         now = mark(e)
         if now == was:
             break

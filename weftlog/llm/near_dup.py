@@ -22,6 +22,10 @@ LEAST_SHARED = 0.5
 BANDS, BAND_ROWS = 8, 3
 #: Inverted lists of at most so many documents are joined as they are; longer ones go by prefixes of the full sets.
 LIST = 64
+#: Columns of a set's signature, 64 bits each.
+SIGNATURE = [f"g{i}" for i in range(8)]
+#: Documents to a file of the tables that are settled on the way.
+PART = 20_000
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 #: Counters of the table by which shingles of documents in long lists are ordered: what each task sends, and what is broadcast, at 4 bytes each.
 COUNTERS = 1 << 20
@@ -66,21 +70,22 @@ def fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text), one row for each of `nodes` (node, doc_id, look; distinct and settled), settled. Other texts stay where they are."""
     n = nodes.select("node", F.col("doc_id").alias("_id"), F.col("look").alias("_look"))
     some = mark_ids(docs, "look", n, "_look", "_maybe").where("_maybe")
-    found = settle(some.join(n, (F.col("look") == F.col("_look")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"))
+    # by a merge, after which the few rows that meet stand in few partitions
+    found = settle(some.join(n.hint("merge"), (F.col("look") == F.col("_look")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"))
     # rows that repeat both id and text come several times
     return settle(found.dropDuplicates(["node"])) if found.count() > n.count() else found
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, texts: DataFrame | None = None) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, parts: int, texts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union, settled.
 
     Pairs are dealt by their first document, STRETCH of them at a time: a stretch begins with that document's text, sent once,
     and each of its rows holds one more. So a document with very many pairs is spread over tasks, and a task holds two texts' sets.
     """
-    pairs = settle(pairs)
+    pairs = settle(pairs.distinct(), parts=parts)
     if texts is None:
-        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = fetch(docs, settle(nodes.select("node", "doc_id", "look").join(ids, "node", "left_semi")))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = fetch(docs, settle(nodes.select("node", "doc_id", "look").join(ids, "node", "left_semi"), parts=parts))
     t = texts.select(F.col("node").alias("_node"), "text")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("_many"))
     dealt = pairs.join(many, "a").withColumn("_own", F.pmod(F.xxhash64("b", F.lit(3)), F.col("_many")).cast("int"))
@@ -105,20 +110,24 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, t
                     left.append(a[i]), right.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return settle(rows.mapInArrow(run, PAIRS))
+    return settle(rows.mapInArrow(run, PAIRS).distinct(), parts=parts)
+
+
+def of_band(i: int):
+    """A second parameter of the function itself would be the value's place."""
+    return lambda v: F.pmod(v, F.lit(BANDS)) == i
 
 
 def band_pairs(nodes: DataFrame) -> DataFrame:
     """First round: a star of pairs around the smallest document of each band."""
-    values = [F.slice(F.filter("sketch", lambda v, i=i: F.pmod(v, F.lit(BANDS)) == i), 1, BAND_ROWS) for i in range(BANDS)]
+    values = [F.slice(F.filter("sketch", of_band(i)), 1, BAND_ROWS) for i in range(BANDS)]
     keys = F.array(*[F.when(F.size(v) > 0, F.xxhash64(v, F.lit(i))) for i, v in enumerate(values)])
-    rows = settle(nodes.select("node", F.explode(F.array_compact(keys)).alias("band")))
+    rows = nodes.select("node", F.explode(F.array_compact(keys)).alias("band"))
     first = rows.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = settle(first)
-    return rows.join(first, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    return rows.join(first, "band").where("a < node").select("a", F.col("node").alias("b"))
 
 
-def inverted_lists(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def inverted_lists(nodes: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Rows (node, component, n, sketch, head, v) of inverted lists of retained values, and the lists (v, len) worth reading.
 
     Sketches of a pair that is similar enough share LEAST_SHARED of their values (a chance of about 5e-7 a pair at the
@@ -126,15 +135,15 @@ def inverted_lists(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     (1 - LEAST_SHARED) * size + 1 of each, its head, is common: only those are listed, the rare ones first, and passages
     that very many documents share list nothing. A list whose members are all of one component links nothing new and is dropped.
     """
-    values = settle(nodes.select("node", F.explode("sketch").alias("v")))
-    often = settle(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    values = nodes.select("node", F.explode("sketch").alias("v"))
+    often = settle(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), parts=parts)
     # values of one document alone come first in the order and link nothing: their number is the sketch's size less the others
     shared = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     shared = shared.join(nodes, "node").withColumn("_room", F.size("sketch") - F.floor(F.size("sketch") * LEAST_SHARED) + 1 - (F.size("sketch") - F.size("s")))
     shared = shared.where("_room > 0").withColumn("head", F.slice(F.col("s.v"), F.lit(1), F.greatest(F.lit(0), F.least(F.col("_room").cast("int"), F.size("s")))))
-    shared = settle(shared.select("node", "component", "n", "sketch", "head", F.explode("head").alias("v")))
+    shared = settle(shared.select("node", "component", "n", "sketch", "head", F.explode("head").alias("v")), parts=parts)
     lists = shared.groupBy("v").agg(F.count("*").alias("len"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    return shared, settle(lists.select("v", "len"))
+    return shared, settle(lists.select("v", "len"), parts=parts)
 
 
 def list_pairs(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -151,11 +160,13 @@ def list_pairs(shared: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_rows(texts: DataFrame, percent: int) -> DataFrame:
-    """(s, node, n, pos): of each document's full set, the rarest shingles that a similar one must share one of, with their places.
+    """(s, node, n, pos, SIGNATURE): of each document's full set, the rarest shingles that a similar one must share one of, with their places.
 
     Shingles are ordered by how often all these documents have them, the rare ones first: any order serves, this one keeps
     what many share out of the prefixes. The frequencies are those of COUNTERS counters that shingles are hashed to:
-    every task sends one table of them, and they are summed by stretches.
+    every task sends one table of them, and they are summed by stretches. A shingle that no other can have, as its counter
+    says, makes no row. The signature has a bit for each of as many parts of the set: whether that part's size is odd. Where the bits of
+    two sets differ, so do the sets.
     """
 
     def count(batches):
@@ -188,7 +199,7 @@ def prefix_rows(texts: DataFrame, percent: int) -> DataFrame:
     box = texts.sparkSession.sparkContext.broadcast(often)
 
     def make(batch_texts: list) -> list:
-        out: list[list] = [[], []]
+        out: list[list] = [[], [], [], []]
         for own in sets_of(batch_texts):
             n = len(own)
             most = n - -(-percent * n // 100) + 1  # of a partner that is smaller by as much as may be
@@ -200,47 +211,62 @@ def prefix_rows(texts: DataFrame, percent: int) -> DataFrame:
                 some = np.arange(n)
             # by frequency, then by hash: the same order for all documents
             some = some[np.lexsort((own[some], times[some]))][:most]
-            out[0].append(n), out[1].append(own[some].view(np.int64))
+            at = np.flatnonzero(times[some] > 1)
+            odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (64 * len(SIGNATURE) - 1), minlength=64 * len(SIGNATURE)) & 1
+            for column, x in zip(out, (n, own[some[at]].view(np.int64), at.astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)), strict=True):
+                column.append(x)
         return out
 
-    rows = map_texts(texts, ["node"], "text", [T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))], make)
-    return rows.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
+    long = T.ArrayType(T.LongType())
+    rows = map_texts(texts, ["node"], "text", [T.StructField("n", T.LongType()), T.StructField("prefix", long), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("signature", long)], make)
+    one = F.explode(F.arrays_zip(F.col("prefix").alias("s"), F.col("places").alias("pos"))).alias("p")
+    return rows.select("node", "n", one, *[F.col("signature")[i].alias(g) for i, g in enumerate(SIGNATURE)]).select("p.s", "node", "n", "p.pos", *SIGNATURE)
 
 
 def counter(own: np.ndarray) -> np.ndarray:
     return (mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def star_pairs(rows: DataFrame, known: DataFrame, pick) -> DataFrame:
+def alike(x: str, y: str, percent: int):
+    """Whether two sets of sizes n can be similar enough by their lengths and signatures: at most (100 - percent) / (100 + percent) of both may differ."""
+    n_x, n_y = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = sum((F.bit_count(F.col(f"{x}{g}").bitwiseXOR(F.col(f"{y}{g}"))) for g in SIGNATURE), F.lit(0))
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (differ * (100 + percent) <= (100 - percent) * (n_x + n_y))
+
+
+def star_pairs(rows: DataFrame, known: DataFrame, percent: int, pick) -> DataFrame:
     """Pairs of each prefix shingle's first document (as `pick` says) with the others of other components: no more than rows."""
     named = rows.join(known, "node")
-    first = named.groupBy("s").agg(pick(F.struct("node", "component")).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("s", "f")
-    return named.join(first, "s").where("component <> f.component").select(F.least("f.node", "node").alias("a"), F.greatest("f.node", "node").alias("b")).distinct()
+    center = F.struct("node", "component", "n", *SIGNATURE)
+    first = named.groupBy("s").agg(pick(center).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("s", "f")
+    near = named.join(first, "s").where((F.col("component") != F.col("f.component")) & alike("", "f.", percent))
+    return near.select(F.least("f.node", "node").alias("a"), F.greatest("f.node", "node").alias("b"))
 
 
 def prefix_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that can still be similar: prefix, length and positional filters of an exact set-similarity join.
+    """All pairs across components that can still be similar: prefix, length, positional and signature filters of an exact set-similarity join.
 
     The smaller of two similar sets x and y has a common shingle among the first |x| - need + 1 of its order, where
     need = percent / (100 + percent) * (|x| + |y|) is the least intersection, and after that shingle as many must follow in both.
-    Documents whose common part is frequent have it behind their own shingles, beyond the prefix, and meet nobody.
+    Documents whose common part is frequent have it behind their own shingles, beyond the prefix, and meet nobody; of those that
+    meet, the signatures leave few but similar ones.
     """
     named = rows.join(known, "node")
     mixed = named.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("s")
     named = named.join(mixed, "s")
-    x, y = (named.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "pos")]) for k in "xy")
-    x = x.where((100 + percent) * (F.col("n_x") - F.col("pos_x")) >= 2 * percent * F.col("n_x"))
-    need = percent * (F.col("n_x") + F.col("n_y"))
-    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    reach = ((100 + percent) * (F.col("n_x") - F.col("pos_x")) >= need) & ((100 + percent) * (F.col("n_y") - F.col("pos_y")) >= need)
-    near = x.join(y, "s").where((F.col("component_x") != F.col("component_y")) & order & (100 * F.col("n_x") >= percent * F.col("n_y")) & reach)
-    return near.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    x, y = (named.select("s", F.struct("node", "component", "n", "pos", *SIGNATURE).alias(k)) for k in "xy")
+    x = x.where((100 + percent) * (F.col("x.n") - F.col("x.pos")) >= 2 * percent * F.col("x.n"))
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    reach = ((100 + percent) * (F.col("x.n") - F.col("x.pos")) >= need) & ((100 + percent) * (F.col("y.n") - F.col("y.pos")) >= need)
+    near = x.join(y, "s").where((F.col("x.component") != F.col("y.component")) & order & reach & alike("x.", "y.", percent))
+    return near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def named_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def named_nodes(nodes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """(node, component) of all nodes, settled."""
-    known = components(links, "a", "b").withColumnRenamed("node", "_node")
-    return settle(nodes.join(known, nodes["node"] == known["_node"], "left").select("node", F.coalesce("component", "node").alias("component")))
+    known = components(links, "a", "b", parts).withColumnRenamed("node", "_node")
+    return settle(nodes.join(known, nodes["node"] == known["_node"], "left").select("node", F.coalesce("component", "node").alias("component")), parts=parts)
 
 
 def sets_of(texts: list) -> list[np.ndarray]:
@@ -284,28 +310,30 @@ def group(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str =
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("look", F.xxhash64("doc_id", "text"))
     sk = settle(sketches(d, ["doc_id", "look"]), compact=True)
+    parts = -(-sk.count() // PART) or 1
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "look")
     nodes = sk.where("n_shingles > 0").groupBy("key").agg(F.min(own).alias("o"), F.min_by("sketch", own).alias("sketch"), F.min("n_shingles").alias("n"))
-    nodes = settle(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "o.doc_id", "o.look", "sketch", "n"))
+    nodes = settle(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "o.doc_id", "o.look", "sketch", "n"), parts=parts)
     texts = d.where("text is not null")
-    found = confirm(band_pairs(nodes), nodes, texts, percent)
-    known = named_nodes(nodes, found)
+    found = confirm(band_pairs(nodes), nodes, texts, percent, parts)
+    known = named_nodes(nodes.select("node"), found, parts)
     release(spark)
-    shared, lists = inverted_lists(nodes.select("node", "sketch", "n").join(known, "node"))
-    found = settle(found.union(confirm(list_pairs(shared, lists, percent), nodes, texts, percent)))
-    long = settle(shared.join(lists.where(F.col("len") > LIST).select("v"), "v", "left_semi").select("node").distinct())
+    shared, lists = inverted_lists(nodes.select("node", "sketch", "n").join(known, "node"), parts)
+    found = found.union(confirm(list_pairs(shared, lists, percent), nodes, texts, percent, parts))
+    long = shared.join(lists.where(F.col("len") > LIST).select("v"), "v", "left_semi").select("node").distinct()
+    long = settle(nodes.select("node", "doc_id", "look").join(long, "node", "left_semi"), parts=parts)
     release(spark)
     if not long.isEmpty():
-        members = fetch(texts, settle(nodes.select("node", "doc_id", "look").join(long, "node", "left_semi")))
+        members = fetch(texts, long)
         rows = settle(prefix_rows(members, percent))
-        for pairs in (lambda k: star_pairs(rows, k, F.min), lambda k: star_pairs(rows, k, F.max), lambda k: prefix_pairs(rows, k, percent)):
-            known = named_nodes(nodes.select("node"), found)
-            found = settle(found.union(confirm(pairs(known), nodes, texts, percent, members)))
+        for pairs in (lambda k: star_pairs(rows, k, percent, F.min), lambda k: star_pairs(rows, k, percent, F.max), lambda k: prefix_pairs(rows, k, percent)):
+            known = named_nodes(nodes.select("node"), found, parts)
+            found = found.union(confirm(pairs(known), nodes, texts, percent, parts, members))
             release(spark)
-    known = named_nodes(nodes.select("node"), found)
+    known = named_nodes(nodes.select("node"), found, parts)
     named = nodes.select("node", "key", "doc_id").join(known, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = settle(named.join(least, "component").select("key", "component_id"))
+    named = settle(named.join(least, "component").select("key", "component_id"), parts=parts)
     out = sk.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
