@@ -51,6 +51,28 @@ def test_url_filter(spark):
         url_filter.rule_for(F.lit(""), F.lit(""), [("allow", "x/")] * 1001)
 
 
+def test_url_filter_on_sites_it_has_not_seen(spark):
+    """Precision and recall of the method alone, and the cases of empty, repeated, long and clashing rows."""
+    block = """www.xxx-movies.com/ onlinebetting.co.uk/football adult-videos.site.net/en/2 xxxporn.site.net/1 casino-big.site.net/en/0 pornstars.example-tube.com/a free-bets.info/today m.casino-win.org/en/4 sexvideos.cc/hd
+grand-poker-club.com/join viagra-express.com/buy cialis-generic.net/ torrentking.org/movies keygen-archive.com/adobe spam-farm.net/x slotsjackpot.eu/win nudeteens.tv/page viprouletteonline.com/ cracked-games.io/dl
+adtrack.media.com/click?id=3 ads.banner-network.com/serve paydayloan-now.com/apply bulk-spam.org/ hotsexchat.com/live cheap-pills-online.com/order lottery-winner-prize.com/claim xxxcams.eu/ escort-berlin.net/girls""".split()
+    allow = """github.com/torvalds/linux arxiv.org/list/cs.LG/recent stackoverflow.com/users/22656 duckdb.org/2024/06/03/announcing physicswiki.site.net/en/5 citylibrary.site.net/en/3 historyforum.site.net/en/4
+www.cnn.com/world apple.com/mac news.example-herald.com/politics essexcountycouncil.gov.uk/schools scunthorpe.org/visit www.math.uni-bonn.de/people spark.apache.org/docs/latest/ maps.google.com/ weather.com/today
+www.theguardian.com/books alphabet.edu/letters www.sussex.ac.uk/study gardencentre.ie/roses en.wiktionary.org/wiki/word www.toyota.co.jp/ pytorch.org/tutorials/ bbcgoodfood.com/recipes/lasagne www.cdc.gov/flu
+hamburg.de/stadtteile louvre.fr/en/explore www.redcross.org/donate betterhealth.vic.gov.au/diet schoolofmusic.org/piano""".split()
+    urls = [f"https://{u}" for u in block + allow]
+    assert not {u.partition("/")[0] for u in block + allow} & {u.partition("/")[0] for u in url_filter.BLOCK + url_filter.ALLOW}
+    df = spark.createDataFrame([(i, u, "x", "y", 0.0) for i, u in enumerate(urls)], "page_id long, url string, verdict string, rule string, score double")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, url_filter.labelled(spark), rules=[]).collect()}
+    hit = sum(got[i] == "block" for i in range(len(block)))
+    wrong = sum(got[i] == "block" for i in range(len(block), len(urls)))
+    assert hit >= 0.85 * len(block) and wrong <= 0.1 * len(allow), (hit, wrong)
+    odd = [(None, "http://" + "a" * 200_000 + ".net/" + "b" * 200_000), (1, None), (1, None), (2, "http://x.org/y"), (2, "http://x.org/y")]
+    rows = url_filter.judge(spark.createDataFrame(odd, "page_id long, url string"), url_filter.labelled(spark), rules=[("allow", "org/"), ("block", "org/")]).collect()
+    assert len(rows) == 5 and [r.verdict for r in rows if r.page_id == 2] == ["block", "block"] and all(0 <= r.score <= 1 for r in rows)
+    assert {r.verdict for r in url_filter.judge(df, url_filter.labelled(spark).limit(0), rules=[]).collect()} <= {"allow", "block"}
+
+
 def test_sharding(spark, odd):
     rows = sharding.assign(odd).collect()
     assert len(rows) == len(ODD) + 3
