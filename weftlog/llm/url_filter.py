@@ -105,21 +105,22 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
-def grams(host: Column, path: Column) -> Column:
-    """Distinct hashed character n-grams of host and of path, each marked with where it is from."""
+def with_grams(df: DataFrame, host: Column, path: Column, name: str) -> DataFrame:
+    """Adds the distinct hashed character n-grams of host and of path, each marked with where it is from.
 
-    def at(s: Column, n: int, mark: int):
-        return lambda i: F.pmod(F.hash(F.substring(s, i, F.lit(n)), F.lit(mark)), F.lit(WIDTH)).cast("int")
+    The characters are columns of their own, so that they are split once a row and not once an n-gram.
+    """
 
-    def of(s: Column, mark: int) -> Column:
-        s = F.concat(F.lit("^"), s, F.lit("$"))
-        parts = []
-        for n in ORDERS:
-            starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, at(s, n, mark)))
-        return F.concat(*parts)
+    def at(chars: str, n: int, mark: int):
+        return lambda i: F.pmod(F.hash(F.concat(*[F.get(chars, i + k) for k in range(n)]), F.lit(mark)), F.lit(WIDTH)).cast("int")
 
-    return F.array_distinct(F.concat(of(host, 1), of(path, 2)))
+    parts = []
+    for mark, (chars, of) in enumerate((("_host_chars", host), ("_path_chars", path)), 1):
+        df = df.withColumn(chars, F.split(F.concat(F.lit("^"), of, F.lit("$")), ""))
+        for n in ORDERS:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(starts, at(chars, n, mark)))
+    return df.withColumn(name, F.array_distinct(F.concat(*parts))).drop("_host_chars", "_path_chars")
 
 
 def train(labels: DataFrame, most: int = MOST_LABELS) -> list[float]:
@@ -128,7 +129,7 @@ def train(labels: DataFrame, most: int = MOST_LABELS) -> list[float]:
     The n-grams of at most `most` labelled rows, those of the smallest hashes, are gathered for that.
     """
     rows = labels.where("label in (0, 1) and url is not null").orderBy(F.xxhash64("url"), "url", "label").limit(most)
-    got = rows.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("g")).collect()
+    got = with_grams(rows.select("label", "url"), host_of(F.col("url")), path_of(F.col("url")), "g").select("label", "g").collect()
     y = np.array([r["label"] for r in got], float)
     w, intercept = np.zeros(WIDTH), 0.0
     if not len(y) or y.min() == y.max():
@@ -158,5 +159,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     p = pages.select(F.col(page_id).alias("page_id"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"))
     sums = F.aggregate("_grams", F.lit(0.0), lambda acc, g: acc + F.element_at(table, g + 1))
     margin = sums / F.sqrt(F.greatest(F.size("_grams"), F.lit(1))) + weights[-1]
-    p = p.withColumn("_grams", grams(F.col("host"), F.col("path"))).withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-margin)))
+    p = with_grams(p, F.col("host"), F.col("path"), "_grams").withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-margin)))
     return p.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
