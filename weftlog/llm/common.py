@@ -57,6 +57,20 @@ def running(df: DataFrame, group: list[str], key: Column, ties: list, bits: int,
     return joined.withColumn(name, (F.col("_start") + F.sum(one).over(inner) - one).cast("long")).drop("_bucket", "_start", "_hash")
 
 
+def least_of_each(df: DataFrame, group: str, sizes: dict, key: Column, most: int) -> DataFrame:
+    """The rows of each group with the smallest hashes `key`: about `most` and never more, but all of a group that is no larger.
+
+    `sizes`: rows by group. A threshold cuts each group to some more than `most`, so that the ranks that follow are over few rows,
+    whatever the group's size.
+    """
+    cut = F.lit(False)
+    for value, n in sizes.items():
+        part = min(1.0, (most + 8 * most**0.5 + 64) / max(1, n))
+        cut = cut | ((F.col(group) == F.lit(value)) & (F.col("_key") <= F.lit(int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1)))
+    w = W.Window.partitionBy(group).orderBy("_key", *[c for c in df.columns if c != group])
+    return df.withColumn("_key", key).where(cut).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_key", "_rank")
+
+
 #: Bits of the map below: 8 MB as it is sent.
 MAP_BITS = 26
 
