@@ -529,3 +529,15 @@ def test_language_id(spark, odd):
     switched = (texts[langs.index("aa")].split()[:20] + texts[langs.index("bb")].split()[:20])
     best = tagger.words(Words([" ".join(switched).encode()], LOWER)).argmax(axis=1)
     assert [tagger.labels[b] for b in best] == ["aa"] * 20 + ["bb"] * 20
+    rows = {r.doc_id: r for r in language_id.predict(df.union(spark.createDataFrame([(2000, " ".join(switched * 40), None), (2000, " ".join(switched), None)], df.schema))).where("doc_id = 2000").collect()}
+    assert rows[2000].n_switches in (1, 79) and set(rows[2000].lang_words) == {"aa", "bb"} and rows[2000].lang_words["aa"] == rows[2000].lang_words["bb"]
+    # a text is one chain, however long: against a plain walk from word to word
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 0, 63, 64, 65, 128, 400, 3])
+    emit, trans, first = rng.normal(size=(sizes.sum(), 3)) * 0.5, rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
+    got, at = language_id.whole_chains(emit, trans, first, sizes), 0
+    for n in sizes:
+        if n:
+            want = language_id.forward_backward(emit[at : at + n, None], trans, first, np.ones((n, 1), bool))[0][:, 0]
+            assert np.allclose(got[at : at + n], want)
+        at += n
