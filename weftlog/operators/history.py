@@ -64,6 +64,25 @@ def dependents(changes: DataFrame, start: DataFrame) -> DataFrame:
     return closure(changes, start, down=True).join(start.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
 
 
+def not_ancestors(changes: DataFrame, hashes: DataFrame, at: DataFrame) -> DataFrame:
+    """Of `hashes` (doc_id, hash), those that the history up to `at` does not hold."""
+    return hashes.join(closure(changes, at), ["doc_id", "hash"], "left_anti")
+
+
+def actors_of(ops: DataFrame) -> DataFrame:
+    """(doc_id, hash, actors): the actors that the operations of a change name, its author among them, in order."""
+    named = F.explode(F.array(F.struct(F.col("ctr"), F.col("actor")), F.struct(F.col("obj_ctr").alias("ctr"), F.col("obj_actor").alias("actor")), F.struct(F.col("key_ctr").alias("ctr"), F.col("key_actor").alias("actor"))))
+    own = ops.select("doc_id", F.col("change_hash").alias("hash"), named.alias("x")).where("x.ctr > 0").select("doc_id", "hash", "x.actor")
+    past = ops.select("doc_id", F.col("change_hash").alias("hash"), F.explode("pred").alias("x")).select("doc_id", "hash", "x.actor")
+    return own.union(past).distinct().groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list("actor")).alias("actors"))
+
+
+def same_documents(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, equal): whether two replicas have the same heads, and with them the same history and state."""
+    ha, hb = (heads(x).groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias(n)) for x, n in ((a, "ha"), (b, "hb")))
+    return ha.join(hb, "doc_id", "full").select("doc_id", F.col("ha").eqNullSafe(F.col("hb")).alias("equal"))
+
+
 def clock(changes: DataFrame) -> DataFrame:
     """The vector clock of a set of changes: per actor the last operation and sequence number."""
     return changes.groupBy("doc_id", "actor").agg(F.max("max_op").alias("max_op"), F.max("seq").alias("seq"))

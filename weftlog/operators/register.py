@@ -53,9 +53,16 @@ def deleted_keys(ops: DataFrame) -> DataFrame:
 
 
 def object_types(ops: DataFrame) -> DataFrame:
-    """Objects and their types, from the operations that made them; the root is a map."""
+    """Objects, their types and their parents, from the operations that made them; the root is a map without a parent."""
     made = ops.where(F.col("action").startswith("make_")).select("doc_id", F.col("ctr").alias("obj_ctr"), F.col("actor").alias("obj_actor"), F.substring("action", 6, 10).alias("type"), F.col("obj_ctr").alias("parent_ctr"), F.col("obj_actor").alias("parent_actor"), "key_str")
-    return made
+    kind = ops.schema["actor"].dataType
+    none = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
+    return ops.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("obj_ctr"), none.alias("obj_actor"), F.lit("map").alias("type"), F.lit(None).cast("long").alias("parent_ctr"), F.lit(None).cast(kind).alias("parent_actor"), F.lit("").alias("key_str")).union(made)
+
+
+def operation(ops: DataFrame, ctr: int, actor) -> DataFrame:
+    """The operation of an id, in every document that has it."""
+    return ops.where((F.col("ctr") == ctr) & (F.col("actor") == F.lit(actor)))
 
 
 def text_id(ctr: str = "ctr", actor: str = "actor") -> Column:
@@ -67,3 +74,10 @@ def parse_id(text: Column) -> Column:
     """The id that text_id printed, as struct<ctr, actor>; the root is (0, '')."""
     parts = F.split(text, "@")
     return F.when(text == "_root", F.struct(F.lit(0).cast("long").alias("ctr"), F.lit("").alias("actor"))).when(text.rlike("^[0-9]+@[0-9a-f]*$"), F.struct(parts[0].cast("long").alias("ctr"), parts[1].alias("actor")))
+
+
+def parse_path(text: Column) -> Column:
+    """`id`, `id/p1/p2` or `/p1/p2` as struct<id, path>: the object it begins at (the root without one) and the JSON pointer from there ('' for none)."""
+    start = F.regexp_extract(text, "^[^/]*", 0)
+    own = parse_id(F.when(start == "", F.lit("_root")).otherwise(start))
+    return F.when(own.isNotNull(), F.struct(own.alias("id"), F.regexp_extract(text, "^[^/]*(.*)$", 1).alias("path")))

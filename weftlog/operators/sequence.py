@@ -97,11 +97,34 @@ def length(ops: DataFrame) -> DataFrame:
     return visible(ops).where("key_str = ''").groupBy(*OBJECT).agg(F.countDistinct("key_ctr", "key_actor").alias("length"))
 
 
+def lists(ops: DataFrame) -> DataFrame:
+    """OBJECT of every list and text: made as one, or inserted into."""
+    made = ops.where("action in ('make_list', 'make_text')").select("doc_id", F.col("ctr").alias("obj_ctr"), F.col("actor").alias("obj_actor"))
+    return ops.where("insert").select(*OBJECT).union(made).distinct()
+
+
 def insertion_points(ops: DataFrame) -> DataFrame:
-    """For each index at which a list can be inserted into: the element that the new one refers to (0 and an empty actor: the head)."""
+    """For each index at which a list can be inserted into: the element that the new one refers to (0 and no actor: the head). An empty list has index 0."""
     e = elements(ops)
     after = e.select(*OBJECT, (F.col("pos") + 1).alias("index"), F.col("ctr").alias("ref_ctr"), F.col("actor").alias("ref_actor"))
-    return e.where("pos = 0").select(*OBJECT, F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("ref_ctr"), F.lit(None).cast(e.schema["actor"].dataType).alias("ref_actor")).union(after)
+    return lists(ops).select(*OBJECT, F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("ref_ctr"), F.lit(None).cast(e.schema["actor"].dataType).alias("ref_actor")).union(after)
+
+
+def list_patches(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changes lists from one state of the log to another: OBJECT, kind, index, value, ctr, actor of the element.
+
+    delete: the index is that of the element before; insert: that of the element after; put: the element shows another
+    operation or value, at its index after. Deletes by descending and then inserts by ascending index lead from one state to the other.
+    """
+
+    def state(ops: DataFrame, name: str) -> DataFrame:
+        best = visible(ops).where("key_str = ''").groupBy(*OBJECT, "key_ctr", "key_actor").agg(F.min(F.struct("ctr", "actor", "current")).alias(name))
+        at = elements(ops).withColumnsRenamed({"ctr": "key_ctr", "actor": "key_actor", "pos": f"{name}_pos"})
+        return at.join(best, [*OBJECT, "key_ctr", "key_actor"])
+
+    both = state(before, "old").join(state(after, "new"), [*OBJECT, "key_ctr", "key_actor"], "full")
+    kind = F.when(F.col("new").isNull(), "delete").when(F.col("old").isNull(), "insert").when(F.col("old") != F.col("new"), "put")
+    return both.withColumn("kind", kind).where("kind is not null").select(*OBJECT, "kind", F.coalesce(F.when(F.col("kind") != "delete", F.col("new_pos")), F.col("old_pos")).alias("index"), F.col("new.current").alias("value"), F.col("key_ctr").alias("ctr"), F.col("key_actor").alias("actor"))
 
 
 def text(ops: DataFrame) -> DataFrame:

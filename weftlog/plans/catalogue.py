@@ -6,13 +6,16 @@ layer, so a key's visible values are those of its last active layer).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftlog.functions import bloom, scalars
 from weftlog.operators import document, encoding, history, register, sequence, state
 from weftlog.plans.logs import DUCK, DUCK_LIST, list_log, map_log
-from weftlog.session import settle
+from weftlog.session import settle, shared_folder
 from weftlog.sources import tables
+from weftlog.streaming import causal
 
 #: The layer at which the queries about the past look.
 PAST = 20
@@ -307,7 +310,7 @@ def list_length(spark, sf_dir):
     return sequence.length(list_log(spark, sf_dir).ops).select("doc_id", "length")
 
 
-@query(f"WITH RECURSIVE {DUCK_LIST}, q AS (SELECT conv_id, ctr, actor, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS n FROM p WHERE len % 5 <> 0) SELECT conv_id AS doc_id, CAST(n AS BIGINT) AS idx, ctr AS ref_ctr, actor AS ref_actor FROM q UNION ALL SELECT DISTINCT conv_id, 0, 0, NULL FROM q")
+@query(f"WITH RECURSIVE {DUCK_LIST}, q AS (SELECT conv_id, ctr, actor, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS n FROM p WHERE len % 5 <> 0) SELECT conv_id AS doc_id, CAST(n AS BIGINT) AS idx, ctr AS ref_ctr, actor AS ref_actor FROM q UNION ALL SELECT DISTINCT conv_id, 0, 0, NULL FROM p")
 def insert_positions(spark, sf_dir):
     return sequence.insertion_points(list_log(spark, sf_dir).ops).select("doc_id", F.col("index").alias("idx"), "ref_ctr", "ref_actor")
 
@@ -347,7 +350,7 @@ def json_flatten(spark, sf_dir):
 
 @query(PATHS + "SELECT doc_id, type, value FROM allp WHERE path = '/orders/1/lines/0/part'")
 def json_pointer_get(spark, sf_dir):
-    return document.pointer(document.flatten(customer_json(spark, sf_dir)), "/orders/1/lines/0/part").select("doc_id", "type", "value")
+    return document.json_pointer(customer_json(spark, sf_dir), "/orders/1/lines/0/part").select("doc_id", "type", "value")
 
 
 @query(PATHS + "SELECT doc_id, path, type, value FROM allp")
@@ -356,20 +359,124 @@ def nested_paths(spark, sf_dir):
     return document.paths(document.from_json(customer_json(spark, sf_dir)))
 
 
-@query("SELECT c_custkey AS doc_id, c_name AS name, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n_orders FROM customer")
-def to_json(spark, sf_dir):
-    j = document.to_json(document.from_json(customer_json(spark, sf_dir)))
-    return j.select("doc_id", F.get_json_object("json", "$.name").alias("name"), F.json_array_length(F.get_json_object("json", "$.orders")).cast("long").alias("n_orders"))
+TEXTS = PATHS + """, lt AS (SELECT c, i, string_agg(concat('{"part":', part, ',"qty":', qty, '}'), ',' ORDER BY j) AS t FROM ls GROUP BY c, i),
+ot AS (SELECT os.c, string_agg(concat('{"key":', k, ',"lines":[', coalesce(lt.t, ''), ']}'), ',' ORDER BY os.i) AS t FROM os LEFT JOIN lt ON os.c = lt.c AND os.i = lt.i GROUP BY os.c) """
 
 
-@query(PATHS + "SELECT doc_id, count(*) - 1 AS n_ops, 1::BIGINT AS n_changes, 5 * count(*) FILTER (WHERE type = 'map' AND path = '') AS five FROM allp GROUP BY doc_id")
+@query(TEXTS + """SELECT c_custkey AS doc_id, concat('{"name":"', c_name, '","orders":[', coalesce(ot.t, ''), ']}') AS json FROM customer LEFT JOIN ot ON c = c_custkey""")
+def to_json(spark, sf_dir):
+    """JSON into an operation log, and the log as JSON again, byte for byte."""
+    return document.to_json(document.from_json(customer_json(spark, sf_dir)))
+
+
+@query(PATHS + "SELECT doc_id, type, CASE WHEN path = '' THEN NULL ELSE regexp_extract(path, '[^/]*$') END AS last, CASE WHEN path = '' THEN true ELSE false END AS root, count(*) AS n FROM allp WHERE type IN ('map', 'list') AND (path = '' OR path = '/orders') GROUP BY ALL UNION ALL SELECT doc_id, type, '', false, count(*) FROM allp WHERE type IN ('map', 'list') AND path LIKE '/orders/%/lines' GROUP BY ALL")
+def object_types(spark, sf_dir):
+    """Objects of all documents with their types and parents: roots, named lists at the root, and lists within maps within lists."""
+    t = register.object_types(document.from_json(customer_json(spark, sf_dir)))
+    t = t.withColumn("root", F.col("parent_ctr").isNull()).withColumn("last", F.when(~F.col("root"), F.when(F.col("parent_ctr") == 0, F.col("key_str")).otherwise(F.lit(""))))
+    t = t.where("root or type = 'list'")
+    return t.groupBy("doc_id", "type", "last", "root").agg(F.count("*").alias("n"))
+
+
+# edits and their histories
+
+ACTOR_A, ACTOR_B = "0a" * 16, "0b" * 16
+
+
+def intents(base, steps):
+    """Steps (kind, path, json, condition) of every document of `base`, numbered in their order."""
+    rows = [F.when(F.expr(cond), F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), F.expr(path).alias("path"), F.expr(text).cast("string").alias("json"))) for i, (kind, path, text, cond) in enumerate(steps)]
+    return base.select("doc_id", "orders", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("doc_id", "x.*")
+
+
+def customers(spark, sf_dir):
+    """Their documents as one change each, and ids with the number of orders."""
+    docs = customer_json(spark, sf_dir)
+    base = settle(tables.import_json(docs))
+    return base, docs.select("doc_id", F.json_array_length(F.get_json_object("json", "$.orders")).alias("orders"))
+
+
+def edited(changes, base, steps, actor):
+    """The changes that a transaction of `actor` makes."""
+    return settle(tables.write(changes, intents(base, steps), actor)).where("error is null").drop("error")
+
+
+STEPS = [
+    ("counter", "'/visits'", "doc_id % 10", "true"),
+    ("increment", "'/visits'", "5", "true"),
+    ("increment", "'/visits'", "-2", "doc_id % 2 = 0"),
+    ("replace", "'/name'", "concat('\"renamed ', doc_id, '\"')", "true"),
+    ("delete", "'/orders/0'", "null", "orders > 0"),
+    ("add", "'/tags'", "'[\"a\",{\"b\":null}]'", "true"),
+    ("add", "'/tags/0'", "'true'", "doc_id % 3 = 0"),
+    ("insert", "'/tags/1'", "'7'", "doc_id % 3 = 0"),
+    ("put", "'/seen'", "'1.5'", "doc_id % 5 = 0"),
+    ("delete", "'/seen'", "null", "doc_id % 10 = 0"),
+]
+EDITED = PATHS.replace("SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders", "SELECT * FROM (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 2 AS i FROM orders) WHERE i >= 0").replace("'str', c_name", "'str', concat('renamed ', c_custkey)") + """, now AS (SELECT * FROM allp
+UNION ALL SELECT c_custkey, '/visits', 'int', CAST(c_custkey % 10 + 5 - CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS STRING) FROM customer
+UNION ALL SELECT c_custkey, '/tags', 'list', NULL FROM customer
+UNION ALL SELECT c_custkey, '/tags/0', 'bool', 'true' FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, '/tags/1', 'int', '7' FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, concat('/tags/', CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END), 'str', 'a' FROM customer
+UNION ALL SELECT c_custkey, concat('/tags/', CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 1 END), 'map', NULL FROM customer
+UNION ALL SELECT c_custkey, concat('/tags/', CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 1 END, '/b'), 'null', 'null' FROM customer
+UNION ALL SELECT c_custkey, '/seen', 'f64', '1.500000' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 10 <> 0) """
+
+
+@query(EDITED + "SELECT doc_id, path, type, value FROM now")
+def edit_documents(spark, sf_dir):
+    """A transaction of puts, increments, replacements, deletions, insertions and nested additions on every document, read from the log of both changes."""
+    base, ids = customers(spark, sf_dir)
+    return document.paths(tables.ops_of(base.unionByName(edited(base, ids, STEPS, ACTOR_A))))
+
+
+@query(PATHS + ", n AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'MissingCounter' WHEN 1 THEN 'InvalidPath' WHEN 2 THEN 'InvalidIndex' ELSE 'InvalidPath' END AS error, CAST(1 AS BIGINT) AS n_changes FROM customer LEFT JOIN n ON c = c_custkey")
+def edit_errors(spark, sf_dir):
+    """Transactions with a step that is not allowed: nothing of them stays, and the reason is told."""
+    base, ids = customers(spark, sf_dir)
+    steps = [("put", "'/x'", "1", "true"), ("increment", "'/name'", "1", "doc_id % 4 = 0"), ("delete", "'/none'", "null", "doc_id % 4 = 1"), ("insert", "concat('/orders/', orders + 1)", "1", "doc_id % 4 = 2"), ("add", "'/name'", "1", "doc_id % 4 = 3")]
+    made = settle(tables.write(base, intents(ids, steps), ACTOR_A))
+    left = base.unionByName(made.where("error is null").drop("error")).groupBy("doc_id").agg(F.count("*").alias("n_changes"))
+    return made.where("error is not null").select("doc_id", "error").join(left, "doc_id")
+
+
+@query("SELECT c_custkey AS doc_id, CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_values, CASE WHEN c_custkey % 2 = 0 THEN 'from a' ELSE 'from b' END AS value, CAST(c_custkey % 10 + 3 AS STRING) AS visits FROM customer")
+def merge_edits(spark, sf_dir):
+    """Two writers that part and meet: a key that both or one of them wrote, and a counter that both incremented."""
+    base, ids = customers(spark, sf_dir)
+    first = base.unionByName(edited(base, ids, [("counter", "'/visits'", "doc_id % 10", "true")], ACTOR_A))
+    a = edited(first, ids, [("increment", "'/visits'", "1", "true"), ("put", "'/who'", "'\"from a\"'", "doc_id % 2 = 0")], ACTOR_A)
+    b = edited(first, ids, [("increment", "'/visits'", "2", "true"), ("put", "'/who'", "'\"from b\"'", "true")], ACTOR_B)
+    ops = tables.ops_of(history.merge(first.unionByName(a), first.unionByName(b)))
+    best = register.winner(ops).where("obj_ctr = 0")
+    who = best.where("key_str = 'who'").select("doc_id", "n_values", F.col("value.s").alias("value"))
+    return who.join(best.where("key_str = 'visits'").select("doc_id", F.col("current").cast("string").alias("visits")), "doc_id")
+
+
+@query("SELECT c_custkey AS doc_id, CAST(3 + c_custkey % 2 + c_custkey % 3 AS BIGINT) AS n_changes, CAST(2 AS BIGINT) AS n_heads, true AS equal, true AS few_rounds FROM customer")
+def sync_branches(spark, sf_dir):
+    """Two peers with changes of their own, one to two and one to three, exchange messages until both are silent."""
+    base, ids = customers(spark, sf_dir)
+    a = b = base
+    for k in range(2):
+        a = a.unionByName(edited(a, ids.where(F.col("doc_id") % 2 >= k), [("put", f"'/a{k}'", "1", "true")], ACTOR_A))
+    for k in range(3):
+        b = b.unionByName(edited(b, ids.where(F.col("doc_id") % 3 >= k), [("put", f"'/b{k}'", "2", "true")], ACTOR_B))
+    s = tables.synchronise(a, b)
+    return s.select("doc_id", "n_changes", F.size("heads").cast("long").alias("n_heads"), "equal", (F.col("rounds") <= 10).alias("few_rounds"))
+
+
+@query(PATHS + "SELECT doc_id, count(*) - 1 + 6 AS n_ops, 2::BIGINT AS n_changes, 2::BIGINT AS n_same FROM allp GROUP BY doc_id")
 def codec_roundtrip(spark, sf_dir):
-    """Documents into snapshots, and the changes and operations that are read from these; a wrong checksum or head would raise."""
-    made = settle(tables.import_json(customer_json(spark, sf_dir)))
+    """Documents of two changes into snapshots, and the changes and operations that are read from these; a wrong checksum or head would raise."""
+    base, ids = customers(spark, sf_dir)
+    steps = [("counter", "'/visits'", "1", "true"), ("increment", "'/visits'", "5", "true"), ("put", "'/x'", "1.5", "true"), ("delete", "'/x'", "null", "true"), ("add", "'/l'", "'[true]'", "true")]
+    made = settle(base.unionByName(edited(base, ids, steps, ACTOR_A)))
     back = settle(tables.decode(tables.encode(made)))
-    same = back.select("doc_id", "hash").intersect(made.select("doc_id", "hash")).groupBy("doc_id").agg(F.count("*").alias("same"))
+    same = back.select("doc_id", "hash").intersect(made.select("doc_id", "hash")).groupBy("doc_id").agg(F.count("*").alias("n_same"))
     sums = back.groupBy("doc_id").agg(F.sum(F.size("ops")).cast("long").alias("n_ops"), F.count("*").alias("n_changes"))
-    return sums.join(same, "doc_id").select("doc_id", "n_ops", "n_changes", (5 * F.col("same")).alias("five"))
+    return sums.join(same, "doc_id").select("doc_id", "n_ops", "n_changes", "n_same")
 
 
 @query("SELECT c_custkey AS doc_id, 1::BIGINT AS n_changes, true AS equal FROM customer")
@@ -379,6 +486,51 @@ def sync_converge(spark, sf_dir):
     return tables.synchronise(made, made.limit(0)).select("doc_id", "n_changes", "equal")
 
 
+@query(CHANGES + f"SELECT doc_id, hash FROM allc WHERE layer = {PAST + 1}")
+def not_ancestors(spark, sf_dir):
+    """Of the changes of three layers, those that the history up to the middle one does not hold."""
+    c = map_log(spark, sf_dir).changes
+    return history.not_ancestors(c, c.where(F.col("layer").between(PAST - 1, PAST + 1)).select("doc_id", "hash"), past_heads(spark, sf_dir))
+
+
+@query(PRED + ", x AS (SELECT doc_id, layer, actor, actor AS a FROM o UNION SELECT o.doc_id, o.layer, o.actor, pl.p_actor FROM pl JOIN o ON o.doc_id = pl.doc_id AND o.ctr = pl.ctr AND o.actor = pl.actor) SELECT x.doc_id, ch.hash, string_agg(x.a, ' ' ORDER BY x.a) AS actors FROM x JOIN ch ON x.doc_id = ch.doc_id AND x.layer = ch.layer AND x.actor = ch.actor GROUP BY x.doc_id, ch.hash")
+def actors_of_change(spark, sf_dir):
+    ops = map_log(spark, sf_dir).ops.where("layer > 0")
+    return history.actors_of(ops).select("doc_id", "hash", F.array_join(F.transform("actors", lambda a: a.cast("string")), " ").alias("actors"))
+
+
+@query(CHANGES + f"SELECT doc_id, CASE WHEN max(layer) > {PAST} THEN false ELSE true END AS equal FROM allc GROUP BY doc_id")
+def same_documents(spark, sf_dir):
+    """Whether the log up to layer PAST and the whole log are the same document."""
+    c = map_log(spark, sf_dir).changes
+    return history.same_documents(c, c.where(F.col("layer") <= PAST))
+
+
+@query(f"WITH RECURSIVE {DUCK_LIST}, q AS (SELECT conv_id, ctr, actor, len, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS n FROM p) SELECT conv_id AS doc_id, w.way, CASE w.way WHEN 1 THEN 'delete' ELSE 'insert' END AS kind, n AS idx, CASE w.way WHEN 2 THEN len END AS value, ctr, actor FROM q CROSS JOIN (VALUES (1), (2)) w(way) WHERE len % 5 = 0")
+def list_patches(spark, sf_dir):
+    """What deletions change in every list, and what taking them back changes."""
+    ops = list_log(spark, sf_dir).ops
+    before = ops.where("insert")
+    both = sequence.list_patches(before, ops).withColumn("way", F.lit(1)).unionByName(sequence.list_patches(ops, before).withColumn("way", F.lit(2)))
+    return both.select("doc_id", "way", "kind", F.col("index").alias("idx"), "value", "ctr", "actor")
+
+
+@query(CHANGES + "SELECT doc_id, count(*) AS n_changes, CAST(0 AS BIGINT) AS n_early, CAST(0 AS BIGINT) AS n_twice FROM allc GROUP BY doc_id")
+def stream_equals_batch(spark, sf_dir):
+    """A stream of changes in the wrong order, some of them twice: each comes out once, after all that it depends on."""
+    c = map_log(spark, sf_dir).changes.select("doc_id", "hash", "deps", "layer")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for i, part in enumerate((c.where("layer >= 15"), c.where("layer < 7"), c.where("layer between 7 and 14"), c.where("layer < 3"))):
+        part.drop("layer").coalesce(1).write.parquet(f"{folder}/in/batch={i}")
+    came = spark.readStream.schema("doc_id long, hash string, deps array<string>, batch int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    causal.causal(came).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    out = spark.read.schema("doc_id long, hash string, pos long").parquet(f"{folder}/out")
+    after = out.join(c.select("doc_id", "hash", F.explode("deps").alias("dep")), ["doc_id", "hash"]).join(out.select("doc_id", F.col("hash").alias("dep"), F.col("pos").alias("before")), ["doc_id", "dep"], "left")
+    early = after.where("before is null or before >= pos").groupBy("doc_id").agg(F.count("*").alias("early"))
+    sums = out.groupBy("doc_id").agg(F.count("*").alias("n_changes"), (F.count("*") - F.countDistinct("hash")).alias("n_twice"))
+    return sums.join(early, "doc_id", "left").select("doc_id", "n_changes", F.coalesce("early", F.lit(0)).cast("long").alias("n_early"), "n_twice")
+
+
 # the sync protocol's filter
 
 PROBES = CHANGES + """, n AS (SELECT doc_id, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS m FROM allc GROUP BY doc_id),
