@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlog.session import settle
 
-#: Five documents; one writer per user; a day is a round of concurrent work, after which all replicas meet.
+#: A third of the writers share one document, the others write by threes and fours in documents of their own.
+DOCUMENT = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 + CAST(floor(user_id / 4) AS BIGINT) END"
+#: One writer per user; a day is a round of concurrent work, after which all replicas meet.
 #: {k}: the number in props; {text}: the engine's name of the string type.
 EVENT_LAYERS = """
-e AS (SELECT event_id, user_id % 5 AS doc_id, user_id AS actor, CAST(ts AS DATE) AS day, event_type,
+e AS (SELECT event_id, {document} AS doc_id, user_id AS actor, CAST(ts AS DATE) AS day, event_type,
       CAST({k} AS BIGINT) % 8 AS k, CAST(round(value * 100) AS BIGINT) AS v FROM events),
 l AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY day) AS BIGINT) AS layer,
       CAST(row_number() OVER (PARTITION BY doc_id, actor, day ORDER BY event_id) AS BIGINT) AS rn,
@@ -33,8 +35,8 @@ ch AS (SELECT doc_id, layer, actor, min(start_op) AS start_op, max(n) AS num_ops
        CAST(row_number() OVER (PARTITION BY doc_id, actor ORDER BY layer) AS BIGINT) AS seq,
        {hash} AS hash FROM o GROUP BY doc_id, layer, actor)
 """
-SPARK = EVENT_LAYERS.format(k="get_json_object(props, '$.k')", hash="sha2(concat_ws('|', doc_id, layer, actor), 256)")
-DUCK = EVENT_LAYERS.format(k="json_extract_string(props, '$.k')", hash="sha256(concat_ws('|', doc_id, layer, actor))")
+SPARK = EVENT_LAYERS.format(document=DOCUMENT, k="get_json_object(props, '$.k')", hash="sha2(concat_ws('|', doc_id, layer, actor), 256)")
+DUCK = EVENT_LAYERS.format(document=DOCUMENT, k="json_extract_string(props, '$.k')", hash="sha256(concat_ws('|', doc_id, layer, actor))")
 
 VALUE = "named_struct('tag', {tag}, 'b', cast(null as boolean), 'i', {i}, 'u', cast(null as decimal(20,0)), 'd', cast(null as double), 's', cast(null as string), 'bin', cast(null as binary))"
 
@@ -72,7 +74,7 @@ def _map_log(app: str, spark: SparkSession, sf_dir: str) -> Log:
       FROM o x LEFT JOIN pa ON x.doc_id = pa.doc_id AND x.ctr = pa.ctr AND x.actor = pa.actor
       UNION ALL
       SELECT d.doc_id, c.id + 1, -1L, 0L, 0L, concat('c', CAST(c.id AS STRING)), 0L, 0L, false, 'set', {genesis}, {none}, 0L, sha2(concat_ws('|', d.doc_id, 0, -1), 256)
-      FROM (SELECT DISTINCT user_id % 5 AS doc_id FROM events) d CROSS JOIN range(8) c""")
+      FROM (SELECT DISTINCT {DOCUMENT} AS doc_id FROM events) d CROSS JOIN range(8) c""")
     changes = spark.sql(f"""
       WITH {SPARK}, all_changes AS (SELECT * FROM ch UNION ALL SELECT doc_id, 0L, -1L, 1L, 8L, 8L, 1L, sha2(concat_ws('|', doc_id, 0, -1), 256) FROM (SELECT DISTINCT doc_id FROM ch)),
       by_layer AS (SELECT doc_id, layer, array_sort(collect_list(hash)) AS hashes FROM all_changes GROUP BY doc_id, layer)
@@ -82,7 +84,7 @@ def _map_log(app: str, spark: SparkSession, sf_dir: str) -> Log:
 
 
 def map_log(spark: SparkSession, sf_dir: str) -> Log:
-    """Registers and counters of five documents. `layer` says in which round an operation or change was made."""
+    """Registers and counters of many documents, one of which has a third of the writers. `layer` says in which round an operation or change was made."""
     return _map_log(spark.sparkContext.applicationId, spark, sf_dir)
 
 
