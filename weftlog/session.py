@@ -40,14 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame, compact: bool = False, parts: int | None = None) -> DataFrame:
+#: Tasks a core that write a narrow table: more would leave many small files.
+WAVES = 4
+
+
+def settle(df: DataFrame, compact: bool = False, narrow: bool = False, parts: int | None = None) -> DataFrame:
     """Compute once, into the shared folder; what follows survives lost executors.
 
-    `compact` is for narrow rows made from a scan of wide ones: they go into few files of a good size instead of
-    one small file for each task of the scan. `parts`: into so many files at most, for rows that end in a light step.
+    `compact` is for narrow rows made from a scan of wide ones: they are dealt anew, so that they go into few files of a good size
+    instead of one small file for each task of the scan. `narrow`: rows that end in a light step, in WAVES files a core of the cluster
+    at most, and `parts` in so many at most.
     """
     shared_folder(df.sparkSession)
     df = df.hint("rebalance") if compact else df
+    if compact or narrow:
+        parts = WAVES * df.sparkSession.sparkContext.defaultParallelism
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
