@@ -99,11 +99,11 @@ def mix(docs: DataFrame, slots: int = SLOTS, text: str = "text", source: str = "
     if not total:
         return d.select(*columns, *nothing)
     block, used, last = blocks_of(total, slots)
-    sched = settle(plan(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], used).withColumn("words", F.when(F.col("slot") == used - 1, last).otherwise(block).cast("long")))
+    sched = settle(plan(spark, [(no[k], goal[k]) for k in names if goal[k] > 0], used).withColumn("words", F.when(F.col("slot") == used - 1, last).otherwise(block).cast("long")), narrow=True)
     held = sched.groupBy("source_no").agg(F.count("*").alias("_held"))
     rows = sum(n for _, n in sums.values())
     d = running(d, ["_no"], turn_of(F.col("doc_id")), ["doc_id", "size"], bits_for(rows), value="size", name="_at")
-    d = settle(d.join(F.broadcast(held), F.col("_no") == F.col("source_no"), "left").drop("source_no"))
+    d = settle(d.join(F.broadcast(held), F.col("_no") == F.col("source_no"), "left").drop("source_no"), narrow=True)
     # as far as the source's slots reach, each time that a document comes up: from word _from to _to of the passes, and the blocks that hold it
     reach = F.least(F.coalesce("_held", F.lit(0)) * block, MOST_REPEATS * F.col("source_size"))
     d = d.withColumn("_reach", reach)

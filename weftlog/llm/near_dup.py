@@ -340,7 +340,7 @@ def group(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str =
 
 def keep_one(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`docs` without the rows that are not kept; rows that repeat a kept doc_id stay together."""
-    gone = settle(grouped.where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    gone = settle(grouped.where("not kept").select(F.col("doc_id").alias("id")).distinct(), narrow=True)
     names = docs.columns
     d = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     return without_ids(d, f"_c{names.index(doc_id)}", gone, "id").toDF(*names)

@@ -67,7 +67,7 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str =
         F.when(F.col(text).isNull(), F.lit(b"")).otherwise(F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))).alias("_key"),
     )
     d = settle(d, compact=True)
-    groups = settle(d.groupBy("_key").agg(F.sum("size").alias("_total"), F.count("*").alias("_copies")))
+    groups = settle(d.groupBy("_key").agg(F.sum("size").alias("_total"), F.count("*").alias("_copies")), narrow=True)
     spark = docs.sparkSession
     totals = groups.groupBy("_total").agg(F.count("*").alias("n"), F.sum("_copies").alias("rows")).collect()
     totals.sort(key=lambda r: -r["_total"])
@@ -83,6 +83,6 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str =
     ranked = running(groups, ["_total"], F.xxhash64("_key", F.lit(17)), ["_key"], bits_for(sum(r["n"] for r in totals)), name="_rank")
     shard = F.expr("_shards[int(size(filter(_ends, x -> x <= _rank)))]")
     placed = ranked.join(plan, "_total").select("_key", shard.alias("shard"))
-    d = settle(d.join(placed, "_key").drop("_key"))
+    d = settle(d.join(placed, "_key").drop("_key"), narrow=True)
     d = running(d, ["shard"], F.xxhash64("doc_id", F.lit(19)), ["doc_id", "size", "text_crc32"], bits_for(sum(r["rows"] for r in totals)), name="slot")
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
