@@ -144,3 +144,28 @@ def test_pipeline(spark, tmp_path):
     shards = {}
     for r in out:
         assert shards.setdefault(r.doc_id, r.shard) == r.shard
+
+
+def test_stages_take_rows_as_they_come(spark, tmp_path):
+    """Every stage on nulls in any column, repeated and long rows, further columns with clashing names, and on nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))
+    texts = [None, "", "  ", "one", text, text, text.upper(), long, "é ü 中 " * 30]
+    rows = [(None if i == 4 else i % 7, t, None if i % 2 else "en", None if i % 3 else "s", None, i, "k", -1, "z", 0.5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, key string, shard int, failed string, component_id double")
+    spark.createDataFrame([(1, " ".join(text.split()[:30])), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = stage(spark, docs, str(tmp_path))
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == kept[name].columns
+        if name != "sharding":
+            assert kept[name].columns == docs.columns and kept[name].schema["text"] == docs.schema["text"]
+    assert {r.text for r in kept["quality_rules"].select("text").collect()} == {text, text.upper(), long}
+    assert {r.text for r in kept["near_dup"].select("text").collect()} >= {None, "", "  ", "one", long}
+    assert {r.text for r in kept["decontaminate"].select("text").collect()} == {None, "", "  ", "one", long, "é ü 中 " * 30}
+    assert {r.text for r in kept["mixing"].select("text").collect()} <= {t for t in texts if t and t.split()}
+    assert kept["sharding"].count() == len(texts)

@@ -541,3 +541,37 @@ def test_language_id(spark, odd):
             want = language_id.forward_backward(emit[at : at + n, None], trans, first, np.ones((n, 1), bool))[0][:, 0]
             assert np.allclose(got[at : at + n], want)
         at += n
+
+
+def test_texts_of_megabytes(spark):
+    """Whole texts, however long: what stands at the end counts."""
+    import random
+
+    rng = random.Random(14)
+    body = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400_000))
+    texts = [body, body + " under the mit license # #", "word " * 300_000 + "\n" + "word " * 3 + "\n" + "word " * 3]
+    docs = frame(spark, texts)
+    measured = {r.doc_id: r for r in quality_rules.ledger(docs).collect()}
+    assert [measured[i].n_words for i in range(3)] == [400_000, 400_006, 300_006] and measured[1].n_symbols == 2 and measured[2].n_dup_lines == 1 and measured[2].n_repeat_words == 300_006
+    found = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert found[1].first_word == 400_000 and found[1].labels == "mit" and found[0].labels == ""
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs, slots=64).collect()} == {0: 400_000, 1: 400_006, 2: 300_006}
+    assert {r.doc_id: r["size"] for r in sharding.assign(docs).collect()} == {i: len(t) + 8 for i, t in enumerate(texts)}
+    counted = {r.doc_id: r for r in token_counts.counts(docs).collect()}
+    assert counted[1].n_words == 400_006 and counted[1].n_tokens > counted[0].n_tokens > 400_000
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality_model.score(docs, labels).collect())
+    few = frame(spark, ["ka ti ro mun " * 30, "sch ei per zz " * 30] * 6 + ["ka ti ro " * 100_000 + "sch ei per " * 50])
+    few = few.withColumn("lang", F.when(F.col("doc_id") == 12, None).when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    got = {r.doc_id: r for r in language_id.predict(few).collect()}
+    assert got[12].lang_pred == "aa" and sum(got[12].lang_words.values()) == 300_150 and got[12].n_switches >= 1
+
+
+def test_vocabulary_that_changes_under_its_name(spark, tmp_path):
+    import base64
+
+    path, docs, got = tmp_path / "v", frame(spark, ["ab ab"]), []
+    for pieces in ([b" ", b"a", b"b"], [b" ab"]):
+        path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate(pieces)))
+        got.append(token_counts.counts(docs, str(path)).first().n_tokens)
+    assert got == [6, 2]

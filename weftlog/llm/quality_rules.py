@@ -65,7 +65,9 @@ def ledger(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -
 
     Words: runs of anything but ASCII white space. word_chars: code points in words. n_symbols: characters
     of #*$%&|<>. n_dup_lines: lines with a word that equal an earlier line. n_repeat_words: words within
-    a 3-word window that the text holds twice or more. A null or empty text measures 0.
+    a 3-word window that the text holds twice or more. A null or empty text measures 0. Very long texts are measured whole, repeated
+    rows each; an empty table gives no rows. Columns of `docs` that are named like a measurement are not read unless they are kept, which
+    `select_good` does under other names.
     """
     keep = ["doc_id"] if keep is None else keep
     fields = [T.StructField(m, T.LongType()) for m in MEASURES]

@@ -32,6 +32,11 @@ def op6_quality_rules(spark, sf_dir):
     return book.select("doc_id", *quality_rules.MEASURES, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes().alias("kept"), F.col("failed").cast("long").alias("failed"))
 
 
+def quality_rule_ablation(spark, sf_dir):
+    """What each rule of the current policy rejects, alone and with others, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents"), []))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS B
 FROM w LEFT JOIN b ON w.r = b.r LEFT JOIN l ON w.r = l.r LEFT JOIN m ON w.r = m.r"""
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_quality_model, op4_language_id, op5_near_dup, op6_quality_rules, op7_mixing, op8_token_counts, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_quality_model, op4_language_id, op5_near_dup, op6_quality_rules, op7_mixing, op8_token_counts, op9_license_scan, op10_decontaminate, quality_rule_ablation)}
 ORACLES: dict[str, str] = {
     "op9_license_scan": license_sql(),
     "op6_quality_rules": r"""
@@ -92,3 +97,6 @@ f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
   + 16 * (word_chars > 20 * n_words)::INT + 32 * (n_dup_lines > 20 AND 4 * n_dup_lines > n_words)::INT AS BIGINT) AS failed FROM m)
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f""",
 }
+BITS = ", ".join(f"('{name}', {bit})" for name, bit in quality_rules.BIT.items())
+ORACLES["quality_rule_ablation"] = ORACLES["op6_quality_rules"].rpartition("SELECT *")[0] + f"""SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed,
+  count(*) FILTER (WHERE failed = bit) AS n_only, count(*) FILTER (WHERE failed & ({sum(quality_rules.BIT.values())} - bit) = 0) AS n_kept_without FROM f CROSS JOIN (VALUES {BITS}) r(rule, bit) GROUP BY rule"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from weftlog.llm.common import map_texts
 
+#: Where the vocabulary lies unless `path` says otherwise; the driver alone reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words whose lengths a worker remembers; then it starts anew.
 MEMORY = 1 << 18
@@ -99,14 +101,14 @@ class Counter(dict):
         return n
 
 
-#: One for each vocabulary that this worker has seen, for all its tasks.
-COUNTERS: dict[str, Counter] = {}
+#: One for each vocabulary that this worker has seen, by the digest of its pieces, for all its tasks.
+COUNTERS: dict[bytes, Counter] = {}
 
 
-def counter(name: str, pieces) -> Counter:
-    if name not in COUNTERS:
-        COUNTERS[name] = Counter(Automaton(pieces.value))
-    return COUNTERS[name]
+def counter(digest: bytes, pieces) -> Counter:
+    if digest not in COUNTERS:
+        COUNTERS[digest] = Counter(Automaton(pieces.value))
+    return COUNTERS[digest]
 
 
 def counts(docs: DataFrame, path: str = VOCABULARY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -116,10 +118,12 @@ def counts(docs: DataFrame, path: str = VOCABULARY, text: str = "text", doc_id:
     of the greedy longest match. The vocabulary (at most MOST_BYTES) is read by the driver and
     broadcast. A null or empty text has no words and no tokens. Repeated rows count each; other columns are not read.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    own = load_vocabulary(path)
+    digest = hashlib.sha256(b"".join(len(p).to_bytes(4, "big") + p for p in own)).digest()
+    pieces = docs.sparkSession.sparkContext.broadcast(own)
 
     def make(texts: list) -> list:
-        c = counter(path, pieces)
+        c = counter(digest, pieces)
         words = [(t or b"").split() for t in texts]
         return [[len(w) for w in words], [sum(map(c.__getitem__, w)) for w in words]]
 
