@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.session import large
+
 # fixed values of the protocol
 BITS_PER_ENTRY = 10
 NUM_PROBES = 7
@@ -36,5 +38,5 @@ def may_contain(entries: DataFrame, filters: DataFrame) -> DataFrame:
     """(doc_id, hash, maybe) for each entry; an empty filter contains nothing."""
     m = filters.select("doc_id", "m").distinct()
     p = entries.select("doc_id", "hash").join(m, "doc_id", "left").select("doc_id", "hash", F.explode_outer(F.array_distinct(probes(F.col("hash"), F.col("m")))).alias("bit"))
-    hit = p.join(filters.select("doc_id", "bit", F.lit(1).alias("hit")), ["doc_id", "bit"], "left")
+    hit = p.join(large(filters.select("doc_id", "bit", F.lit(1).alias("hit"))), ["doc_id", "bit"], "left")
     return hit.groupBy("doc_id", "hash").agg((F.sum(F.coalesce("hit", F.lit(0))) == F.count("*")).alias("maybe"))

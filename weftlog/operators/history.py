@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from weftlog.operators.sequence import by_group
 from weftlog.operators.state import REGISTER, keyed, op_id, state
+from weftlog.session import large
 
 
 def factored(changes: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +29,7 @@ def factored(changes: DataFrame, sets: DataFrame | None) -> tuple[DataFrame, Dat
 def expanded(changes: DataFrame, sets: DataFrame) -> DataFrame:
     """Changes with their dependencies as lists, in order."""
     lists = sets.groupBy("doc_id", "dep_set").agg(F.array_sort(F.collect_list("dep")).alias("deps"))
-    return changes.join(lists, ["doc_id", "dep_set"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>"))).drop("dep_set")
+    return changes.join(large(lists), ["doc_id", "dep_set"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>"))).drop("dep_set")
 
 
 def depended(changes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -36,12 +37,12 @@ def depended(changes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     if sets is None:
         return changes.select("doc_id", F.explode("deps").alias("hash")).distinct()
     named = changes.where("dep_set is not null").select("doc_id", "dep_set").distinct()
-    return sets.join(named, ["doc_id", "dep_set"], "left_semi").select("doc_id", F.col("dep").alias("hash")).distinct()
+    return sets.join(large(named), ["doc_id", "dep_set"], "left_semi").select("doc_id", F.col("dep").alias("hash")).distinct()
 
 
 def heads(changes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Changes on which no other depends."""
-    return changes.join(depended(changes, sets), ["doc_id", "hash"], "left_anti")
+    return changes.join(large(depended(changes, sets)), ["doc_id", "hash"], "left_anti")
 
 
 def closure(changes: DataFrame, start: DataFrame, down: bool = False, sets: DataFrame | None = None) -> DataFrame:
@@ -53,13 +54,13 @@ def closure(changes: DataFrame, start: DataFrame, down: bool = False, sets: Data
     """
     c, s = factored(changes, sets)
     c = c.select("doc_id", "hash", "dep_set")
-    begin = c.select("doc_id", "hash").join(start.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi").distinct()
-    steps = s.select("doc_id", F.col("dep_set").alias("above"), F.col("dep").alias("hash")).join(c.where("dep_set is not null"), ["doc_id", "hash"]).select("doc_id", "above", F.col("dep_set").alias("below")).distinct()
+    begin = c.select("doc_id", "hash").join(large(start.select("doc_id", "hash").distinct()), ["doc_id", "hash"], "left_semi").distinct()
+    steps = s.select("doc_id", F.col("dep_set").alias("above"), F.col("dep").alias("hash")).join(large(c.where("dep_set is not null")), ["doc_id", "hash"]).select("doc_id", "above", F.col("dep_set").alias("below")).distinct()
     if down:
-        first = s.join(begin.withColumnRenamed("hash", "dep"), ["doc_id", "dep"], "left_semi").select("doc_id", "dep_set")
+        first = s.join(large(begin.withColumnRenamed("hash", "dep")), ["doc_id", "dep"], "left_semi").select("doc_id", "dep_set")
         steps = steps.select("doc_id", F.col("below").alias("a"), F.col("above").alias("b"))
     else:
-        first = c.where("dep_set is not null").join(begin, ["doc_id", "hash"], "left_semi").select("doc_id", "dep_set")
+        first = c.where("dep_set is not null").join(large(begin), ["doc_id", "hash"], "left_semi").select("doc_id", "dep_set")
         steps = steps.select("doc_id", F.col("above").alias("a"), F.col("below").alias("b"))
     graph = steps.union(first.distinct().select("doc_id", F.lit(None).cast(c.schema["dep_set"].dataType).alias("a"), F.col("dep_set").alias("b")))
 
@@ -80,9 +81,9 @@ def closure(changes: DataFrame, start: DataFrame, down: bool = False, sets: Data
     schema = T.StructType([T.StructField("doc_id", c.schema["doc_id"].dataType), T.StructField("dep_set", c.schema["dep_set"].dataType)])
     reached = by_group(graph, ["doc_id"], schema, one)
     if down:
-        return c.join(reached, ["doc_id", "dep_set"], "left_semi").select("doc_id", "hash").union(begin).distinct()
-    members = s.join(reached, ["doc_id", "dep_set"], "left_semi").select("doc_id", F.col("dep").alias("hash"))
-    return members.join(c.select("doc_id", "hash"), ["doc_id", "hash"], "left_semi").union(begin).distinct()
+        return c.join(large(reached), ["doc_id", "dep_set"], "left_semi").select("doc_id", "hash").union(begin).distinct()
+    members = s.join(large(reached), ["doc_id", "dep_set"], "left_semi").select("doc_id", F.col("dep").alias("hash"))
+    return members.join(large(c.select("doc_id", "hash")), ["doc_id", "hash"], "left_semi").union(begin).distinct()
 
 
 def ancestors(changes: DataFrame, start: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -91,12 +92,12 @@ def ancestors(changes: DataFrame, start: DataFrame, sets: DataFrame | None = Non
 
 def dependents(changes: DataFrame, start: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Changes that build on one of `start`, those left out."""
-    return closure(changes, start, True, sets).join(start.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+    return closure(changes, start, True, sets).join(large(start.select("doc_id", "hash")), ["doc_id", "hash"], "left_anti")
 
 
 def not_ancestors(changes: DataFrame, hashes: DataFrame, at: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Of `hashes` (doc_id, hash), those that the history up to `at` does not hold."""
-    return hashes.join(closure(changes, at, sets=sets), ["doc_id", "hash"], "left_anti")
+    return hashes.join(large(closure(changes, at, sets=sets)), ["doc_id", "hash"], "left_anti")
 
 
 def actors_of(ops: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -112,8 +113,8 @@ def actors_of(ops: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     refs = keyed(ops).where("pred_set is not null").select("doc_id", F.col("change_hash").alias("hash"), F.struct(*REGISTER[1:], "pred_set").alias("r")).distinct()
     refs = refs.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list("r")).alias("refs"))
     of_set = sets.groupBy("doc_id", F.struct(*REGISTER[1:], "pred_set").alias("r")).agg(F.collect_set("actor").alias("a"))
-    lists = refs.select("doc_id", "refs").distinct().withColumn("r", F.explode("refs")).join(of_set, ["doc_id", "r"]).groupBy("doc_id", "refs").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
-    both = named.join(refs, ["doc_id", "hash"], "left").join(lists, ["doc_id", "refs"], "left")
+    lists = refs.select("doc_id", "refs").distinct().withColumn("r", F.explode("refs")).join(large(of_set), ["doc_id", "r"]).groupBy("doc_id", "refs").agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("a"))
+    both = named.join(large(refs), ["doc_id", "hash"], "left").join(large(lists), ["doc_id", "refs"], "left")
     return both.select("doc_id", "hash", F.when(F.col("a").isNull(), F.col("actors")).otherwise(F.array_sort(F.array_union("a", "actors"))).alias("actors"))
 
 
@@ -129,7 +130,7 @@ def clock(changes: DataFrame) -> DataFrame:
 
 
 def clock_at(changes: DataFrame, at: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    return clock(changes.join(closure(changes, at, sets=sets), ["doc_id", "hash"], "left_semi"))
+    return clock(changes.join(large(closure(changes, at, sets=sets)), ["doc_id", "hash"], "left_semi"))
 
 
 def compare_clocks(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -143,12 +144,12 @@ def compare_clocks(a: DataFrame, b: DataFrame) -> DataFrame:
 def changes_since(changes: DataFrame, at: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Changes that are no ancestors of `at`: an actor's changes are a chain, so sequence numbers beyond its clock tell them."""
     known = clock_at(changes, at, sets).select("doc_id", "actor", F.col("seq").alias("known"))
-    return changes.join(known, ["doc_id", "actor"], "left").where(F.col("seq") > F.coalesce("known", F.lit(0))).drop("known")
+    return changes.join(large(known), ["doc_id", "actor"], "left").where(F.col("seq") > F.coalesce("known", F.lit(0))).drop("known")
 
 
 def changes_added(mine: DataFrame, other: DataFrame) -> DataFrame:
     """Changes of the other replica that this one lacks."""
-    return other.join(mine, ["doc_id", "hash"], "left_anti")
+    return other.join(large(mine), ["doc_id", "hash"], "left_anti")
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -161,18 +162,18 @@ def missing_deps(known: DataFrame, wanted: DataFrame | None = None, sets: DataFr
     """Hashes that known changes depend on (or `wanted` names) and nobody has."""
     need = depended(known, sets)
     need = need if wanted is None else need.union(wanted.select("doc_id", "hash"))
-    return need.distinct().join(known, ["doc_id", "hash"], "left_anti")
+    return need.distinct().join(large(known), ["doc_id", "hash"], "left_anti")
 
 
 def unready(changes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Changes that wait: a dependency is missing, or waits itself. All that is not ready is a dependent of a change with a missing one."""
     c, s = factored(changes, sets)
-    short = s.join(c.select("doc_id", F.col("hash").alias("dep")), ["doc_id", "dep"], "left_anti").select("doc_id", "dep_set").distinct()
-    return closure(c, c.join(short, ["doc_id", "dep_set"], "left_semi").select("doc_id", "hash"), True, s)
+    short = s.join(large(c.select("doc_id", F.col("hash").alias("dep"))), ["doc_id", "dep"], "left_anti").select("doc_id", "dep_set").distinct()
+    return closure(c, c.join(large(short), ["doc_id", "dep_set"], "left_semi").select("doc_id", "hash"), True, s)
 
 
 def ready(changes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    return changes.join(unready(changes, sets), ["doc_id", "hash"], "left_anti")
+    return changes.join(large(unready(changes, sets)), ["doc_id", "hash"], "left_anti")
 
 
 def op_to_change(ops: DataFrame, changes: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def op_to_change(ops: DataFrame, changes: DataFrame) -> DataFrame:
 def covered(ops: DataFrame, clocks: DataFrame) -> DataFrame:
     """Operations that a clock covers."""
     c = clocks.select("doc_id", "actor", F.col("max_op").alias("_known"))
-    return ops.join(c, ["doc_id", "actor"]).where("ctr <= _known").drop("_known")
+    return ops.join(large(c), ["doc_id", "actor"]).where("ctr <= _known").drop("_known")
 
 
 def ops_at(ops: DataFrame, changes: DataFrame, at: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -226,9 +227,9 @@ def last_of_actor(changes: DataFrame) -> DataFrame:
 
 def duplicate_seq(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming changes whose sequence number their actor has already used under another hash."""
-    new = incoming.join(known, ["doc_id", "hash"], "left_anti")
+    new = incoming.join(large(known), ["doc_id", "hash"], "left_anti")
     used = known.groupBy("doc_id", "actor").agg(F.max("seq").alias("used"))
-    return new.join(used, ["doc_id", "actor"]).where("seq <= used").drop("used")
+    return new.join(large(used), ["doc_id", "actor"]).where("seq <= used").drop("used")
 
 
 def max_op(changes: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def next_change(changes: DataFrame, actor, sets: DataFrame | None = None) -> Dat
     """What a new change of `actor` would begin with: seq, start_op, deps (heads and its own last change)."""
     own = changes.where(F.col("actor") == F.lit(actor)).groupBy("doc_id").agg(F.max("seq").alias("last"), F.max_by("hash", "seq").alias("own"))
     h = heads(changes, sets).groupBy("doc_id").agg(F.array_sort(F.collect_list("hash")).alias("heads"))
-    out = max_op(changes).join(h, "doc_id").join(own, "doc_id", "left")
+    out = max_op(changes).join(large(h), "doc_id").join(large(own), "doc_id", "left")
     return out.select("doc_id", (F.coalesce("last", F.lit(0)) + 1).alias("seq"), (F.col("max_op") + 1).alias("start_op"), F.array_sort(F.array_distinct(F.concat("heads", F.array_compact(F.array("own"))))).alias("deps"))
 
 
