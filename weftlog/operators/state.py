@@ -41,8 +41,8 @@ def is_counter() -> Column:
     return (F.col("action") == "set") & (F.col("value.tag") == "counter")
 
 
-def state(ops: DataFrame, successors: bool = False, sets: DataFrame | None = None) -> DataFrame:
-    """All operations with n_succ, n_inc, visible and current (a counter's value with its increments); with `successors` also succ, ascending.
+def state(ops: DataFrame, successors: bool = False, sets: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """All operations (or those `of` the log that are asked for) with n_succ, n_inc, visible and current (a counter's value with its increments); with `successors` also succ, ascending.
 
     Predecessor links are summed per overwritten operation before they meet it; both sides are dealt by
     register and id, so that a large document is spread over many tasks. Of a set, the operations that name it are summed before they meet its members.
@@ -56,13 +56,14 @@ def state(ops: DataFrame, successors: bool = False, sets: DataFrame | None = Non
         named = keyed(ops).where("pred_set is not null").withColumn("amount", F.col("value.i")).groupBy(*REGISTER, "pred_set").agg(*sums)
         both = [F.sum(n).alias(n) for n in ("n_succ", "n_inc", "added")] + [F.array_sort(F.flatten(F.collect_list("succ"))).alias("succ")] * successors
         over = over.unionByName(sets.join(large(named), [*REGISTER, "pred_set"]).drop("pred_set")).groupBy(*REGISTER, *ID).agg(*both)
-    out = keyed(ops).join(large(over), [*REGISTER, *ID], "left").fillna(0, ["n_succ", "n_inc", "added"])
+    out = keyed(ops if of is None else of).join(large(over), [*REGISTER, *ID], "left").fillna(0, ["n_succ", "n_inc", "added"])
     visible = F.when(F.col("action").isin("inc", "del"), False).when(is_counter(), F.col("n_succ") <= F.col("n_inc")).otherwise(F.col("n_succ") == 0)
     return out.withColumn("visible", visible).withColumn("current", F.when(is_counter(), F.col("value.i") + F.col("added")).otherwise(F.col("value.i")))
 
 
 def visible(ops: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    return state(ops, sets=sets).where("visible")
+    """Operations that show. Increments and deletions never do: they are counted, and do not meet the counts."""
+    return state(ops, sets=sets, of=ops.where(~F.col("action").isin("inc", "del"))).where("visible")
 
 
 def dangling(ops: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -70,11 +71,11 @@ def dangling(ops: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     over = links(ops).select(*REGISTER, F.col("p_ctr").alias("ctr"), F.col("p_actor").alias("actor"))
     if sets is not None:
         named = keyed(ops).where("pred_set is not null").select(*REGISTER, "pred_set").distinct()
-        over = over.unionByName(sets.join(named, [*REGISTER, "pred_set"], "left_semi").drop("pred_set"))
-    return over.distinct().join(ops.select("doc_id", *ID), ["doc_id", *ID], "left_anti")
+        over = over.unionByName(sets.join(large(named), [*REGISTER, "pred_set"], "left_semi").drop("pred_set"))
+    return over.distinct().join(large(ops.select("doc_id", *ID)), ["doc_id", *ID], "left_anti")
 
 
 def synthesised_deletes(snapshot: DataFrame) -> DataFrame:
     """Deletions that a snapshot implies: successor ids without a row of their own, with the operations they overwrite as pred."""
     rows = snapshot.select(*REGISTER, *ID, F.explode("succ").alias("s")).select(*REGISTER, op_id().alias("target"), F.col("s.ctr").alias("ctr"), F.col("s.actor").alias("actor"))
-    return rows.join(snapshot.select("doc_id", *ID), ["doc_id", *ID], "left_anti").groupBy(*REGISTER, *ID).agg(F.array_sort(F.collect_list("target")).alias("pred"))
+    return rows.join(large(snapshot.select("doc_id", *ID)), ["doc_id", *ID], "left_anti").groupBy(*REGISTER, *ID).agg(F.array_sort(F.collect_list("target")).alias("pred"))
